@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltloom.llm import bpe, langid
+from voltloom.llm import bpe, hostrules, langid, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_langid": langid.op2_langid,
+        "op3_simhash": simhash.op3_simhash,
+        "op4_host_rules": hostrules.op4_host_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_host_rules": hostrules.ORACLE}
