@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltloom.llm import bpe, hostrules, langid, simhash
+from voltloom.llm import bpe, hostrules, langid, packing, pii, reshard, secrets, simhash, zclass
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": langid.op2_langid,
         "op3_simhash": simhash.op3_simhash,
         "op4_host_rules": hostrules.op4_host_rules,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_reshard": reshard.op6_reshard,
+        "op7_compression": zclass.op7_compression,
+        "op8_pii": pii.op8_pii,
+        "op10_packing": packing.op10_packing,
     }
 
 
