@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltloom.llm import bpe, hostrules, langid, packing, pii, reshard, secrets, simhash, zclass
+from voltloom.llm import bpe, hostrules, langid, packing, pii, reshard, secrets, simhash, topk, zclass
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_reshard": reshard.op6_reshard,
         "op7_compression": zclass.op7_compression,
         "op8_pii": pii.op8_pii,
+        "op9_topk": topk.op9_topk,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_rules": hostrules.ORACLE}
+    return {"op4_host_rules": hostrules.ORACLE, "op9_topk": topk.ORACLE}
