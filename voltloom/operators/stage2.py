@@ -133,7 +133,7 @@ def multinomial(df: DataFrame, names: list[str], clusters: list[int], base: int,
             scale = 1.0
             while True:  # halve steps that go too far
                 new = once(beta + scale * step)
-                if new[0] >= loglik - 1e-9 or scale < 1e-4:
+                if new[0] >= loglik - 1e-9 * (abs(loglik) + 1) or scale < 1e-4:
                     break
                 scale /= 2
             done = abs(new[0] - loglik) <= tolerance * (abs(loglik) + 1)
