@@ -2,7 +2,7 @@
 
 Lengths are counted in units of BIN tokens, rounded up. All combinations of at most DEPTH lengths that fill a
 window exactly are enumerated; non-negative least squares finds how often to repeat each so that together they
-use up the histogram of lengths. Repeats are rounded down (and never use more than there is); what remains is
+use up the histogram of lengths, each length's error weighted by the length, as long pieces are the hardest to place. Repeats are rounded down (and never use more than there is); what remains is
 packed greedily, longest first, each window filled with the longest lengths that still fit. All this works on the
 histogram, whose size depends on the window only. Documents are then given their places by their rank among those
 of equal length: ranks are counted in groups of (length, salt), with as many salts as the data need.
@@ -99,7 +99,8 @@ def patterns(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int,
         for k, c in enumerate(made):
             np.add.at(a[:, k], list(c), 1)
         scale = float(left.max())
-        x = nnls(a, left / scale) * scale
+        weight = np.arange(units + 1) / units
+        x = nnls(a * weight[:, None], left / scale * weight) * scale
         for k in np.argsort(-x, kind="stable"):
             need = a[:, k].astype(np.int64)
             used = need > 0
