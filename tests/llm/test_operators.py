@@ -132,7 +132,9 @@ def test_simhash_groups(spark, odd, none):
     assert simhash.groups(none).count() == 0 and simhash.deduplicate(none).count() == 0
 
 
-def test_host_rules(spark, odd, none):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_host_rules(spark, odd, none, most, monkeypatch):
+    monkeypatch.setattr(hostrules, "BROADCAST_HOSTS", most)
     rows = hostrules.verdicts(odd).collect()
     assert len(rows) == len(ODD)
     assert all(r.no_words and not r.keep for r in rows if r.doc_id in (2, 3, 4))

@@ -16,10 +16,9 @@ def plain(spark, sf_dir):
     good = {r.doc_id for r in hostrules.verdicts(docs).filter("keep").collect()}
     rows = sorted((r for r in docs.collect() if r.doc_id in good), key=lambda r: r.doc_id)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = zclass.train(zclass.sample(docs.filter(docs.doc_id.isin(list(good))), labels))
-    if model:
-        made = model.compressors()
-        rows = [r for r in rows if r.text and 1 / (1 + np.exp(-(model.slope * zclass.measure(r.text, made) + model.offset))) >= zclass.LIMIT]
+    model = zclass.train(zclass.sample(docs, labels))
+    made = model.compressors()  # without a model the stage would keep everything
+    rows = [r for r in rows if r.text and 1 / (1 + np.exp(-(model.slope * zclass.measure(r.text, made) + model.offset))) >= zclass.LIMIT]
     sigs = {r.doc_id: (r.a, r.b) for r in simhash.signatures(docs).collect()}
     groups = brute_groups([sigs[r.doc_id] for r in rows], simhash.MOST)
     first = {}

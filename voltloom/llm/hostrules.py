@@ -13,7 +13,8 @@ its host is not rejected.
 
 Defined results: every row gets a verdict, repeated rows each; an empty table gives an empty result.
 Null doc_ids are kept as they are; other columns are left out of `verdicts` and untouched by `keep`.
-The host table has a row for each host: it is joined by its key and broadcast only where Spark knows it is small.
+The host table has a row for each host. It is counted first: up to BROADCAST_HOSTS rows it is broadcast, so texts don't
+move; beyond that, rows of documents and hosts are joined by (host, salt), so that a hot host is spread over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm._shared import documents, spare
+from voltloom.llm._shared import cut, documents, spare
 
 HOST_LIMIT = 0.5
+BROADCAST_HOSTS, SALTS = 100_000, 64
 SYMBOLS = "#$%&*|!<>{}[]\\^~_"
 
 
@@ -69,12 +71,22 @@ def hosts(failed: DataFrame) -> DataFrame:
     return by.select("host", "n", "failed", "rate", ((F.col("failed") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))).alias("shrunk")).withColumn("rejected", F.col("shrunk") > HOST_LIMIT)
 
 
+def by_host(docs: DataFrame, table: DataFrame, host: str, how: str) -> DataFrame:
+    """docs joined with a table of hosts by the column `host`."""
+    table = cut(table)
+    if table.count() <= BROADCAST_HOSTS:
+        return docs.join(F.broadcast(table), host, how)
+    salt = spare(docs, "voltloom_salt")
+    docs = docs.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return docs.join(table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [host, salt], how).drop(salt)
+
+
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, host, four rules, host_docs, host_failed, host_rate, host_rejected, keep) of every document."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{host_col}`"), F.lit("")).alias("host"), F.col(f"`{text_col}`").alias("text"))
     own = judged(slim, "text", "r").select("doc_id", "host", "r.*").withColumn("fails", F.expr("no_words or symbols or capitals or repeats"))
     table = hosts(own.select("host", "fails")).select("host", F.col("n").alias("host_docs"), F.col("failed").alias("host_failed"), F.round("shrunk", 6).alias("host_rate"), F.col("rejected").alias("host_rejected"))
-    return own.join(table, "host").select("doc_id", "host", "no_words", "symbols", "capitals", "repeats", "host_docs", "host_failed", "host_rate", "host_rejected", (~F.col("fails") & ~F.col("host_rejected")).alias("keep"))
+    return by_host(own, table, "host", "inner").select("doc_id", "host", "no_words", "symbols", "capitals", "repeats", "host_docs", "host_failed", "host_rate", "host_rejected", (~F.col("fails") & ~F.col("host_rejected")).alias("keep"))
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -83,7 +95,7 @@ def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> D
     own = judged(docs, text_col, rules).withColumn(host, F.coalesce(F.col(f"`{host_col}`"), F.lit("")))
     own = own.withColumn(rules, F.col(rules)["no_words"] | F.col(rules)["symbols"] | F.col(rules)["capitals"] | F.col(rules)["repeats"])
     bad = hosts(own.select(F.col(host).alias("host"), F.col(rules).alias("fails"))).filter("rejected").select(F.col("host").alias(host))
-    return own.filter(~F.col(rules)).join(bad, host, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return by_host(own.filter(~F.col(rules)), bad, host, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
