@@ -26,8 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learns from labelled rows of the whole table: of docs alone, most bad ones are gone already."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return zclass.keep(docs, zclass.train(zclass.sample(docs, labels)))
+    return zclass.keep(docs, zclass.train(zclass.sample(documents(spark, sf_dir), labels)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
