@@ -84,7 +84,7 @@ def by_host(docs: DataFrame, table: DataFrame, host: str, how: str) -> DataFrame
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, host, four rules, host_docs, host_failed, host_rate, host_rejected, keep) of every document."""
     slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{host_col}`"), F.lit("")).alias("host"), F.col(f"`{text_col}`").alias("text"))
-    own = judged(slim, "text", "r").select("doc_id", "host", "r.*").withColumn("fails", F.expr("no_words or symbols or capitals or repeats"))
+    own = cut(judged(slim, "text", "r").select("doc_id", "host", "r.*").withColumn("fails", F.expr("no_words or symbols or capitals or repeats")))  # texts are read once
     table = hosts(own.select("host", "fails")).select("host", F.col("n").alias("host_docs"), F.col("failed").alias("host_failed"), F.round("shrunk", 6).alias("host_rate"), F.col("rejected").alias("host_rejected"))
     return by_host(own, table, "host", "inner").select("doc_id", "host", "no_words", "symbols", "capitals", "repeats", "host_docs", "host_failed", "host_rate", "host_rejected", (~F.col("fails") & ~F.col("host_rejected")).alias("keep"))
 
