@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -172,6 +173,34 @@ def test_secret_scan(text, found):
     assert secrets.clean(text).count(secrets.MARK) == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('password = decrypt("hJ8#kd92LmQ1x", "utf-8")', ["hJ8#kd92LmQ1x"]),
+        ('password = Secret("prod", "hJ8#kd92LmQ1x")', ["hJ8#kd92LmQ1x"]),
+        ('password = wrap(read("hJ8#)kd92LmQ1x"), "utf-8")', ["hJ8#)kd92LmQ1x"]),
+        ('secret = load(\n  "' + "aB3$xZ9q" * 700 + '",\n  "utf-8")\n' + LONG, ["aB3$xZ9q" * 700]),
+        ('db = connect(host="h1.example", password="hJ8#kd92LmQ1x")', ["hJ8#kd92LmQ1x"]),
+        ('a = decode("hJ8#kd92LmQ1x", "hex")\npassword = a', ["hJ8#kd92LmQ1x"]),
+        ('db = connect({"password": "hJ8#kd92LmQ1x", "user": "ann"})', ["hJ8#kd92LmQ1x"]),
+        ('password = os.getenv("APP_DB_PASSWORD", "hJ8#kd92LmQ1x")', ["hJ8#kd92LmQ1x"]),
+        ('password = decrypt("hJ8#kd92LmQ1x", \n\n name = "kd92LmQ1xZZ"', ["hJ8#kd92LmQ1x"]),
+        ("<password>" + "gT5$wq81" * 700 + " </password>", ["gT5$wq81" * 700]),
+    ],
+)
+def test_secrets_in_calls(text, found):
+    got = secrets.scan(text)
+    assert [text[a:b] for _, a, b, _ in got] == found
+    assert all(f not in secrets.clean(text) for f in found)
+
+
+def test_unclosed_calls_take_linear_time():
+    began = time.process_time()
+    secrets.scan("a = f(" * 30_000)
+    secrets.scan('a = f("x' * 30_000)
+    assert time.process_time() - began < 10
+
+
 def test_secrets_on_odd_rows(spark, odd, none):
     docs = odd.unionByName(frame(spark, [(9, LONG + SECRET, "s")]))
     rows = secrets.findings(docs).collect()

@@ -2,7 +2,10 @@
 
 Source and configuration text is lexed into name-literal pairs: NAME = "x", name: x, "name": "x", name := x,
 name => x, <name>x</name>. A right-hand side is a chain of terms joined by +: quoted literals (with escapes,
-prefixes and triple quotes), names, calls (their literal arguments count), and bare configuration scalars. Names
+prefixes and triple quotes), names, calls, and bare configuration scalars. A call reaches to its balanced closing
+parenthesis, however far; every literal in it, in calls within it too, is weighed on its own, and a single one is also
+part of the chain. No literals are a mapping's keys and the names that an environment lookup reads. A call that is
+never closed counts to the next empty line. Statements within a call are read as well, those within its literals not. Names
 that were given a literal earlier in the text stand for it (constants are propagated through any number of
 assignments and through concatenation and ${NAME}). A pair's score is the sensitivity of its name, from the
 words it is made of, times the plausibility of the literal as a secret: length, character variety, entropy, and no
@@ -11,13 +14,14 @@ placeholder. Pairs with a score of LIMIT or more are findings; a finding covers
 Defined results: null and empty texts have no finding. Repeated rows are scanned each. Names without a
 sensitive word, placeholders and short or wordlike literals are no findings. `redact` keeps every row and column
 (names may clash), replaces the literals of findings by MARK and leaves other texts as they are, nulls too.
-Texts of any length are lexed whole, in time linear in their length.
+Texts of any length are lexed whole, calls once each; time is linear in the length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,9 +40,13 @@ STATEMENT = re.compile(
     [ \t]*+(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*+""",
     re.X,
 )
-ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)>\s*+(?P<value>[^<>\n]{1,4000}?)\s*</(?P=name)>")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)>\s*+(?P<value>[^<>\n]++)\s*+</(?P=name)>")
 QUOTED = re.compile(r"""[A-Za-z]{0,2}(?:\"\"\"(?P<a>(?s:.)*?)\"\"\"|'''(?P<b>(?s:.)*?)'''|"(?P<c>(?:[^"\\\n]|\\.)*+)"|'(?P<d>(?:[^'\\\n]|\\.)*+)'|`(?P<e>[^`\n]*+)`)""")
 CALL = re.compile(r"(?:new\s+)?[A-Za-z_$][\w$.:]*+\s*+\(")
+MARKS = re.compile(r"[()\"'`]")
+KEY = re.compile(r"\s*+(?:=>|[:=](?![:=]))")
+LOOKUP = re.compile(r"(?:getenv|environ\.get|\benv|getProperty)\s?\($", re.I)
+EMPTY_LINE = re.compile(r"\n[ \t\r]*+(?=\n)")
 NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+")
 BARE = re.compile(r"""[^\s,;'"`<>{}()\[\]]+""")
 PLUS = re.compile(r"\s*\+\s*|[ \t]*\\?\n?[ \t]*(?=[\"'])")
@@ -92,40 +100,76 @@ def plausibility(literal: str) -> float:
 Part = tuple[str, int, int]
 
 
-def side(text: str, at: int, known: dict[str, list[Part]]) -> tuple[list[Part], int]:
-    """(literal parts, end) of the right-hand side that begins at `at`; no parts where it isn't known."""
+#: Of a call: its end, and the literals of the pass that lexed it, with the first and the last of its own.
+Call = tuple[int, list[Part], int, int]
+#: Literals that count each on its own: a pass over calls, the first and the last of them.
+Range = tuple[list[Part], int, int]
+#: What a name stands for: the parts of its chain, and the literals of calls in it.
+Value = tuple[list[Part], list[Range]]
+
+
+def lex_call(text: str, opening: int, calls: dict[int, Call]) -> Call:
+    """The call whose parenthesis is at `opening`; calls within it are noted in `calls` too, so nothing is lexed twice."""
+    if opening in calls:
+        return calls[opening]
+    found: list[Part] = []
+    stack, at = [(opening, 0)], opening + 1
+    while stack and (m := MARKS.search(text, at)):
+        at = m.end()
+        if m[0] == "(":
+            stack.append((m.start(), len(found)))
+        elif m[0] == ")":
+            begin, first = stack.pop()
+            calls[begin] = at, found, first, len(found)
+        elif q := QUOTED.match(text, m.start()):
+            at, own = q.end(), (q[q.lastgroup], q.start(q.lastgroup), q.end(q.lastgroup))
+            before = text[max(0, m.start() - 40) : m.start()].rstrip()
+            key = before[-1:] in "{,(" and KEY.match(text, at)
+            if not key and not (LOOKUP.search(before) and NAME.fullmatch(own[0])):
+                found.append(own)
+    if stack:
+        empty, starts = [m.start() for m in EMPTY_LINE.finditer(text, opening)], [p[1] for p in found]
+        for begin, first in stack:
+            k = bisect_left(empty, begin)
+            stop = empty[k] if k < len(empty) else len(text)
+            calls[begin] = stop, found, first, max(first, bisect_left(starts, stop))
+    return calls[opening]
+
+
+def side(text: str, at: int, known: dict[str, Value], calls: dict[int, Call]) -> tuple[list[Part], list[Range], int]:
+    """(literal parts, literals of calls, end) of the right-hand side that begins at `at`; none where it isn't known."""
     parts: list[Part] = []
+    alone: list[Range] = []
     while True:
         if m := QUOTED.match(text, at):
             g = m.lastgroup
             own = m[g]
             parts.append((own, m.start(g), m.end(g)))
             for f in FILLED.finditer(own):
-                parts += known.get(f[1] or f[2] or f[3], [])
+                more = known.get(f[1] or f[2] or f[3], ([], []))
+                parts += more[0]
+                alone += more[1]
             at = m.end()
         elif m := CALL.match(text, at):
-            stop = text.find(")", m.end(), m.end() + 4000)
-            stop = len(text) if stop < 0 and len(text) < m.end() + 4000 else stop if stop >= 0 else m.end()
-            inner = m.end()
-            found = []
-            while q := QUOTED.search(text, inner, max(stop, inner)):
-                found.append((q[q.lastgroup], q.start(q.lastgroup), q.end(q.lastgroup)))
-                inner = q.end()
-            parts += found[-1:]
-            at = max(stop + 1, inner) if stop < len(text) else stop
+            at, found, first, last = lex_call(text, m.end() - 1, calls)
+            if last > first:
+                alone.append((found, first, last))
+            if last - first == 1:
+                parts.append(found[first])
         elif (m := NAME.match(text, at)) and m[0] in known:
-            parts += known[m[0]]
+            parts += known[m[0]][0]
+            alone += known[m[0]][1]
             at = m.end()
         elif m := BARE.match(text, at):
             own = m[0].rstrip(".:!?&")
             if any(c.isdigit() for c in own) or not (own.isalnum() or NAME.fullmatch(own)):
                 parts.append((own, m.start(), m.start() + len(own)))
-            return parts, m.end()
+            return parts, alone, m.end()
         else:
-            return parts, at
+            return parts, alone, at
         joined = PLUS.match(text, at)
         if not joined or (joined.end() == at and not QUOTED.match(text, at)):
-            return parts, at
+            return parts, alone, at
         at = joined.end()
 
 
@@ -135,7 +179,9 @@ Finding = tuple[str, int, int, float]
 def scan(text: str) -> list[Finding]:
     """(name, start, end, score) of every literal of a finding, in order of start; each literal once, at its best score."""
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    known: dict[str, list[Part]] = {}
+    known: dict[str, Value] = {}
+    calls: dict[int, Call] = {}
+    done: dict[tuple[int, float], tuple[int, int]] = {}
 
     def weigh(name: str, parts: list[Part]) -> None:
         own = sensitivity(name)
@@ -148,21 +194,46 @@ def scan(text: str) -> list[Finding]:
                 if (len(p) >= 4 or len(parts) == 1) and score > best.get((a, b), (0.0, ""))[0]:
                     best[a, b] = score, name
 
+    def weigh_each(name: str, one: Range) -> None:
+        """Weighs literals but those that a name as sensitive had before: calls within calls share theirs."""
+        own, (found, first, last) = sensitivity(name), one
+        if own:
+            low, high = done.get((id(found), own), (first, first))
+            for k in range(max(first, high) if low <= first else first, last):
+                weigh(name, [found[k]])
+            done[id(found), own] = (low, max(high, last)) if low <= first <= high else (first, last)
+
     if "=" in text or ":" in text:
-        at = 0
+        at = until = 0
+        inside: list[Part] = []  # literals of the right-hand side with calls that reaches to `until`
         while m := STATEMENT.search(text, at):
-            parts, end = side(text, m.end(), known)
+            k = bisect_right(inside, m.start("name"), key=lambda p: p[1]) - 1
+            if k >= 0 and m.end() <= inside[k][2]:
+                at = max(inside[k][2], at + 1)
+                continue
+            parts, alone, end = side(text, m.end(), known, calls)
             name = m["name"]
-            if parts:
-                known[name] = parts
+            if parts or alone:
+                alone = list({(id(one[0]), *one[1:]): one for one in alone}.values())
+                known[name] = parts, alone
                 weigh(name, parts)
+                for one in alone:
+                    weigh_each(name, one)
             else:
                 known.pop(name, None)
-            literal = parts and all(m.end() <= a and b <= end for _, a, b in parts)
-            at = max(end if literal else m.end(), at + 1)
+            own = [one for one in alone if m.end() <= one[0][one[1]][1] and one[0][one[2] - 1][2] <= end]
+            if own:
+                if end > until:
+                    literals = {p for found, first, last in own for p in found[first:last]}
+                    inside, until = sorted(literals | {p for p in parts if m.end() <= p[1] and p[2] <= end}, key=lambda p: p[1]), end
+                at = m.end()
+            else:
+                literal = parts and all(m.end() <= a and b <= end for _, a, b in parts)
+                at = max(end if literal else m.end(), at + 1)
     if "</" in text:
         for m in ELEMENT.finditer(text):
-            weigh(m["name"], [(m["value"], m.start("value"), m.end("value"))])
+            value = m["value"].rstrip()
+            weigh(m["name"], [(value, m.start("value"), m.start("value") + len(value))])
     return [(name, a, b, score) for (a, b), (score, name) in sorted(best.items())]
 
 
