@@ -273,6 +273,29 @@ def test_pii(spark, odd, none):
     assert out.filter("doc_id = 9").first().text == "mail to [EMAIL] today" and out.count() == len(ODD) + 1 and out.columns == odd.columns
 
 
+PAD = "a" * 30 + "-" + "b" * 40
+JOINED = [
+    ('{"note":"' + PAD + '","email":"kim.42@mail7.example.com","tel":"415-555-2671","card":"4785380592391139"}', ["kim.42@mail7.example.com", "415-555-2671", "4785380592391139"]),
+    (PAD + ",kim.42@mail7.example.com,415-555-2671,152.143.123.131,12,500", ["kim.42@mail7.example.com", "415-555-2671", "152.143.123.131"]),
+    ("https://www.example.org/" + PAD + "?mail=kim.42@mail7.example.com&tel=415-555-2671", ["kim.42@mail7.example.com", "415-555-2671"]),
+    ("这是一个没有空格的很长的句子" * 6 + "请联系kim.42@mail7.example.com或者致电415-555-2671谢谢", ["kim.42@mail7.example.com", "415-555-2671"]),
+    ("2024-05-17T10:30:00Z|host=" + PAD + "|ip=152.143.123.131|user:kim.42@mail7.example.com", ["152.143.123.131", "kim.42@mail7.example.com"]),
+    (PAD + "-415-555-2671-" + PAD, ["415-555-2671"]),
+    (PAD * 3 + " and 1,200.50 of 12,500,000 by 17/05/2024", []),
+]
+
+
+def test_pii_in_joined_and_long_words():
+    model = pii.train()
+    texts = [t for t, _ in JOINED] + ["x " * 50 + t + " call +1 (212) 555-0142" for t, _ in JOINED]
+    found = [[texts[j][a:b] for i, _, a, b in pii.Tagger(model).spans(texts) if i == j] for j in range(len(texts))]
+    assert found == [f for _, f in JOINED] + [f + ["+1 (212) 555-0142"] for _, f in JOINED]
+    y, n = pii.Tagger(model).labels(texts)
+    whole, m = pii.Tagger(model).labels(texts, prune=False)
+    assert (y == whole).all() and (n == m).all() and len(y) == n.sum()
+    assert not any(pii.parts(w) for seq in pii.table()[0] for w in seq)
+
+
 def brute_topk(rows, k):
     out = []
     good = [(n, i, np.array(v, float)) for n, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)]

@@ -1,6 +1,10 @@
 """Personal data by a linear-chain conditional random field over word shapes.
 
-Words are runs of characters other than white space. A word's features are its shape (letters x and X, digits d,
+Words are runs of characters other than white space. One that could hold personal data (an @, four digits, two
+colons) is split at the punctuation and the unspaced scripts (Chinese, Japanese, Thai and others) within it, as in
+JSON, CSV, URLs and logs; each part is a word then, and findings don't reach across parts. Whole stay thousands,
+dates, times and colon addresses. In parts of over LONG_PART characters, digits joined to letters by a hyphen, point,
+underscore or plus part from them. A word's features are its shape (letters x and X, digits d,
 runs collapsed), its shape with the lengths of digit runs, its number of digits and its kinds of characters; those
 of the words before and after it count too. Labels are O and, for each kind, B (first word) and I (further words).
 The model is trained from LABELLED, a small table of marked examples whose digits and letters are drawn afresh,
@@ -43,6 +47,19 @@ KINDS = tuple(dict.fromkeys(k for k, _ in LABELLED))
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 EDGE = ".,;:!?#$%&*|\"'<>[]{}=`~^"
 CAP = 4.0
+LONG_PART = 64
+_SCRIPTS = "\u0e00-\u0e4f\u0e5a-\u0ecf\u0eda-\u0f1f\u0f34-\u103f\u1780-\u17df\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff\uff01-\uff0a\uff0c\uff1a-\uff1f\uff3b-\uff40\uff5b-\uff9f\U0001f000-\U0001faff\U00020000-\U0003ffff"
+_MARKS = r"\"<>{}\[\]|=&;?\\`#*^~!$"
+_JOINT = re.compile(rf"[{_MARKS},:/'(){_SCRIPTS}]")
+_PART = re.compile(
+    rf"""\d{{4}}-\d\d-\d\d[T_]\d\d:[\d:.]+Z?(?!\w) | \d{{1,2}}/\d{{1,2}}/\d{{2,4}}(?![\d/]) | (?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}(?![\w:]) | \d{{1,2}}:\d\d(?![\w.:-])
+    | [{_SCRIPTS}]+
+    | (?: [^{_MARKS},:/'(){_SCRIPTS}] | \(\d+\) | (?<=[^\W\d])'(?=[^\W\d])
+        | (?:(?<=(?<![\d.-])\d)|(?<=(?<![\d.-])\d\d)|(?<=(?<![\d.-])\d\d\d)|(?<=,\d\d\d)),(?=\d{{3}}(?![\w-])(?!\.\d+\.)) )+""".replace("#", r"\#"),
+    re.X,
+)
+_SEAM = re.compile(r"(?<=[^\W\d])[-_.+]+(?=[\d(])|(?<=\d)[-_.+]+(?=[^\W\d])")
+_LOUD = re.compile(r"@|(?:\d\D*?){4}|:[^:]*:")
 _RUN = re.compile(r"d+|x+|X+")
 
 
@@ -56,9 +73,26 @@ class _Shape(dict):
 _SHAPE = _Shape()
 
 
+def parts(word: str) -> list[tuple[int, str]]:
+    """(place, part) of a word that is split; empty for one that stays whole."""
+    core = word.strip(EDGE)
+    if not (len(core) > LONG_PART or _JOINT.search(core)) or not _LOUD.search(core):
+        return []
+    out = []
+    first = word.index(core)
+    for m in _PART.finditer(word, first, first + len(core)):
+        at = m.start()
+        if m.end() - at > LONG_PART and "@" not in m[0]:
+            for seam in _SEAM.finditer(word, at, m.end()):
+                out.append((at, word[at : seam.start()]))
+                at = seam.end()
+        out.append((at, word[at : m.end()]))
+    return out if len(out) != 1 or len(out[0][1]) < len(core) else []
+
+
 def shapes(word: str) -> tuple[str, str, str, str]:
     """Collapsed shape, shape with the lengths of digit runs, number of digits, kinds of characters."""
-    core = word.strip(EDGE)[:64]
+    core = word.strip(EDGE)
     s = core.translate(_SHAPE)
     short = _RUN.sub(lambda m: m[0][0], s)
     long = _RUN.sub(lambda m: f"d{len(m[0])}" if m[0][0] == "d" else m[0][0], s)
@@ -104,7 +138,7 @@ class Model:
                 own = [get(f"{p}{i}={x}") for p in "C" for i, x in enumerate(s)]
                 v = cache[s] = (sum((w[i] for i in own if i is not None), w[0]), *(sum((w[i] for i in (get(f"{p}0={s[0]}"), get(f"{p}1={s[1]}")) if i is not None), np.zeros(k)) for p in "PN"))
             out[0][n], out[1][n], out[2][n] = v
-            calm[n] = quiet(s[0])
+            calm[n] = quiet(s[0] if len(s[0]) < 24 else word.translate(_SHAPE))
         margin = out[0][:, :1] - out[0] + self.context - self.swing
         return (*out, calm, calm & (margin[:, 1:] > 1e-3).all(1))
 
@@ -231,18 +265,24 @@ class Tagger:
         self.model, self.ids = model, WordIds()
         self.own, self.before, self.after = (np.zeros((0, len(LABELS)), np.float32) for _ in range(3))
         self.calm, self.sure = np.zeros(0, bool), np.zeros(0, bool)
+        self.split: dict[int, list[str]] = {}  # by number, the words that are split
 
     def labels(self, texts: list[str | None], prune: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """(Label of every word of every text, number of words of each text)."""
+        """(Label of every word of every text, number of words of each text); a word that is split counts by its parts."""
         found, lens = [], np.zeros(len(texts), np.int64)
         for j, text in enumerate(texts):
             for piece in pieces(text or ""):
                 w = piece.split()
                 lens[j] += len(w)
                 found.append(np.fromiter(map(self.ids.__getitem__, w), np.int32, len(w)))
+        x = np.concatenate(found) if found else np.zeros(0, np.int32)
+        for word in self.ids.fresh:
+            if own := parts(word):
+                self.split[self.ids[word]] = [w for _, w in own]
+        if self.split:
+            x, lens = self.apart(x, lens)
         fresh = self.model.vectors(self.ids.fresh)
         self.own, self.before, self.after, self.calm, self.sure = (np.concatenate([a, b]) for a, b in zip((self.own, self.before, self.after, self.calm, self.sure), fresh))
-        x = np.concatenate(found) if found else np.zeros(0, np.int32)
         y = np.zeros(len(x), np.int64)
         first = np.zeros(len(x) + 1, bool)  # of its text; one more place for the end
         first[np.append(0, np.cumsum(lens))] = True
@@ -260,9 +300,22 @@ class Tagger:
             begin, end = open_[start], open_[start + n - 1]
             y[open_] = viterbi(e, n, self.model.trans, ~first[begin], ~first[end + 1])
         stay = self.ids.settle()
+        self.split = {n: w for n, w in self.split.items() if n < stay}
         self.own, self.before, self.after, self.calm, self.sure = self.own[:stay], self.before[:stay], self.after[:stay], self.calm[:stay], self.sure[:stay]
         return y, lens
 
+    def apart(self, x: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words, and how many each text has, with words that are split replaced by their parts."""
+        where = np.flatnonzero(np.isin(x, np.fromiter(self.split, np.int32, len(self.split))))
+        own = {n: np.array([self.ids[w] for w in self.split[n]], np.int32) for n in np.unique(x[where]).tolist()}
+        size = np.ones(len(x), np.int64)
+        size[where] = [len(own[n]) for n in x[where].tolist()]
+        ends = np.append(0, np.cumsum(size))
+        out = np.repeat(x, size)
+        for k in where.tolist():
+            out[ends[k] : ends[k + 1]] = own[int(x[k])]
+        return out, np.diff(ends[np.append(0, np.cumsum(lens))])
+
     def spans(self, texts: list[str | None]) -> list[tuple[int, str, int, int]]:
         """(text, kind, start, end) of everything found."""
         y, lens = self.labels(texts)
@@ -278,7 +331,7 @@ class Tagger:
             for p in own.tolist():
                 label = int(y[base + p]) - 1
                 kind, a, b = label >> 1, *places[p]
-                if last and label & 1 and last[0] == kind and last[3] == p - 1:
+                if last and label & 1 and last[0] == kind and last[3] == p - 1 and _SPACE.search(text, last[2], a):
                     last[2], last[3] = b, p
                 else:
                     if last:
@@ -292,19 +345,21 @@ class Tagger:
 def token_places(text: str, wanted: np.ndarray) -> dict[int, tuple[int, int]]:
     """Start and end, without punctuation at the edges, of the wanted words."""
     need, out = set(wanted.tolist()), {}
-    most = int(wanted[-1])
-    for n, m in enumerate(_TOKEN.finditer(text)):
-        if n in need:
-            word = m[0]
-            a = m.start() + len(word) - len(word.lstrip(EDGE))
-            out[n] = (a, max(a, m.start() + len(word.rstrip(EDGE))))
-        if n == most:
+    n, most = 0, int(wanted[-1])
+    for m in _TOKEN.finditer(text):
+        for at, word in parts(m[0]) or [(0, m[0])]:
+            if n in need:
+                a = m.start() + at + len(word) - len(word.lstrip(EDGE))
+                out[n] = (a, max(a, m.start() + at + len(word.rstrip(EDGE))))
+            n += 1
+        if n > most:
             break
     return out
 
 
 #: What str.split() splits at, as a pattern.
 _TOKEN = re.compile(r"[^\s\x1c-\x1f\x85\xa0]+")
+_SPACE = re.compile(r"[\s\x1c-\x1f\x85\xa0]")
 
 
 def findings(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
