@@ -70,6 +70,19 @@ def test_langid_on_held_out_rows(spark, small, odd, none):
     assert {r.lang_pred for r in langid.label(odd, None).collect()} == {None}
 
 
+def test_langid_learns_every_language_of_skewed_tables(spark):
+    many = [(f"the house and the dog number {chr(97 + k % 26) * (k % 40 + 1)} of the street in the town", "en") for k in range(1500)]
+    copies = [("das haus und der hund in der strasse und die stadt am fluss", "de")] * 1500
+    rare = [("la casa y el perro de la calle en la ciudad grande del rio", "es"), ("ett hus", "sv"), ("le chien et la maison de la ville " * 900, "fr"), ("123 456", "xx"), (None, "yy")]
+    docs = spark.createDataFrame([(k, t, l) for k, (t, l) in enumerate(many + copies + rare)], "doc_id long, text string, lang string")
+    found = langid.sample(docs)
+    assert len(found) == len(set(found)) and {l for _, l in found} == {"en", "de", "es", "sv", "fr"}
+    assert sum(l == "de" for _, l in found) == 1 and max(len(t) for t, _ in found) == langid.TRAIN_CHARS
+    assert sum(l == "en" for _, l in found) == langid.TRAIN_DOCS // 7
+    crf = langid.train(found)
+    assert langid.label(docs.filter("lang = 'es'"), crf).first().lang_pred == "es"
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     t, lens = rng.normal(size=(3, 3)), np.array([1, 4, 2])

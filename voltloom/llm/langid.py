@@ -6,6 +6,10 @@ transitions between labels are learned. Training maximises the likelihood of seq
 of words from documents of different languages alternate. Labels come from forward-backward: every word
 gets the label of greatest posterior probability, over whole documents.
 
+Training reads TRAIN_DOCS documents, shared equally among the table's languages, LEAST_DOCS of a language at least:
+different texts, copies count once, those of 50 to TRAIN_CHARS characters first, of longer ones the first TRAIN_CHARS.
+So every language that any text with a letter has is a label, however rare it is.
+
 Defined results: a null, empty or wordless text has no words: null language and confidence, no runs.
 Rows are labelled each on its own, repeated ones too. With no labelled rows to learn from (an empty
 table, or no language given) every language is null. Ties go to the alphabetically first language.
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltloom.llm._shared import WordIds, documents, grams, only, pieces, slices
@@ -27,8 +31,8 @@ from voltloom.llm._shared import WordIds, documents, grams, only, pieces, slices
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that training reads at most, and how many characters such a document may have.
-TRAIN_DOCS, TRAIN_CHARS = 600, 20_000
+#: Labelled documents that training reads of all languages, how many characters of each, and documents of a language at least.
+TRAIN_DOCS, TRAIN_CHARS, LEAST_DOCS = 600, 20_000, 10
 
 
 def words_of(text: str) -> list[str]:
@@ -173,9 +177,17 @@ def forward_backward(e: np.ndarray, lens: np.ndarray, t: np.ndarray) -> np.ndarr
 
 
 def sample(docs: DataFrame, lang_col: str = "lang", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most `most` documents with a language, in the order of a hash, the same for the same rows."""
-    rows = docs.select(F.col("text").alias("t"), F.col(f"`{lang_col}`").alias("l")).filter("t is not null and l is not null and length(t) between 50 and " + str(chars))
-    return [(r.t, r.l) for r in rows.orderBy(F.xxhash64("t"), "l", "t").limit(most).collect()]
+    """Of each language an equal share of `most` different texts, those of least text hash: the same for the same rows."""
+    lang = F.col(f"`{lang_col}`").alias("l")
+    n = docs.select(lang).filter("l is not null").distinct().count()
+    if not n:
+        return []
+    quota = max(LEAST_DOCS, most // n)
+    rows = docs.select(F.col("text").alias("t"), lang).filter("t is not null and l is not null").withColumn("h", F.xxhash64("t"))
+    slim = rows.filter(F.col("t").rlike(r"\p{L}")).select("l", "h", F.expr(f"length(t) not between 50 and {chars}").alias("odd")).distinct()
+    ranked = slim.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("odd", "h"))).filter(F.col("r") <= quota)
+    found = rows.join(F.broadcast(ranked.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.substring(F.min("t"), 1, chars).alias("t")).collect()  # quota rows a language
+    return [(r.t, r.l) for r in sorted(found, key=lambda r: (r.l, r.h))]
 
 
 def label(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
