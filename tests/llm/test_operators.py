@@ -270,6 +270,21 @@ def test_classifier_on_held_out_rows(spark, odd, none):
     assert {(r.score, r.keep) for r in zclass.score(odd, None).collect()} == {(None, True)}
 
 
+@pytest.mark.parametrize("bad", [["buy cheap pills now click here win money fast " * 3], ["click win buy pills " * 2000] * 40 + ["short"], ["x"]])
+def test_classifier_learns_from_few_and_odd_rows(spark, bad):
+    words = "the house and dog of a street in town near old river with many trees people walk there every day".split()
+    rng = random.Random(4)
+    good = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(good + bad + [None, ""])), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < len(good))) for k in range(len(good + bad) + 2)], "doc_id long, quality int")
+    rows = zclass.sample(docs, labels)
+    assert len(rows) == len(set(good)) + len(set(bad)) and max(len(t) for t, _ in rows) <= zclass.TRAIN_CHARS
+    model = zclass.train(rows)
+    got = {r.doc_id: r for r in zclass.score(docs, model).collect()}
+    assert sum(got[k].keep for k in range(len(good))) >= 27 and not got[len(good)].keep
+    assert not got[len(good + bad)].keep and not got[len(good + bad) + 1].keep
+
+
 def test_pii(spark, odd, none):
     model = pii.train()
     texts = ["mail to kim.42@mail7.example.com today", "call +1 (212) 555-0142 now", "from 192.168.7.25 it came", "the year 2024 and 350 pages", None, "", LONG]

@@ -5,12 +5,14 @@ effect does not fade with length. With g and b the summed compressed sizes, its
 compressed-size difference (b - g) / (b + g): above 0, the text is more like good text. A logistic curve,
 fitted to the measures of labelled texts that no dictionary was trained on, makes it the probability of quality.
 
-Training reads at most TRAIN_DOCS labelled documents of each class; half make the dictionaries, half the
-calibration.
+Training reads at most TRAIN_DOCS different labelled texts of each class, those of 20 to TRAIN_CHARS characters first,
+of longer ones the first TRAIN_CHARS; half make the dictionaries, half the calibration, where both classes weigh the
+same. It takes what there is: a class's only text serves for both.
 
 Defined results: null and empty texts have no measure, null score, and are rejected. Rows are scored each on
-its own, repeated ones too. Several labels of one doc_id: the least counts. If labelled texts of one class are
-missing (or labels is empty), every score is null and every text is kept. A score equal to the limit is kept.
+its own, repeated ones too. Several labels of one doc_id: the least counts. If one class has no labelled
+text that isn't null or empty (or labels is empty), nothing can be learned: every score is null and every text is
+kept, null and empty ones too. A score equal to the limit is kept.
 Other columns, whatever their names, are left out of `score` and untouched by `keep`.
 """
 
@@ -65,14 +67,15 @@ def measure(text: str, compressors: tuple[zstandard.ZstdCompressor, ...]) -> flo
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of P(y = 1 | x), by Newton's method on the log-likelihood with a little ridge."""
+    """Slope and offset of P(y = 1 | x), by Newton's method on the log-likelihood, both classes weighing the same, with a little ridge."""
     scale = float(x.std()) or 1.0
     z = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
+    each = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + 1e-2 * w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), grad)
+        grad = z.T @ (each * (p - y)) + 1e-2 * w
+        step = np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), grad)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -82,7 +85,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(rows: list[tuple[str, int]]) -> Model | None:
     """rows: (text, quality 0 or 1), in an order that says nothing about quality."""
     by = {q: [t for t, y in rows if y == q] for q in (0, 1)}
-    if min(map(len, by.values())) < 8:
+    if not all(by.values()):
         return None
     dicts = []
     for q in (1, 0):
@@ -93,23 +96,24 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
             raw = zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
             raw = b"".join(samples)[-size:]
+            raw *= -(-8 // len(raw))  # the least that zstandard takes
         dicts.append(raw)
     model = Model(*dicts)
     made = model.compressors()
-    held = [(t, q) for q in (0, 1) for t in by[q][1::2]]
+    held = [(t, q) for q in (0, 1) for t in by[q][1::2] or by[q]]
     model.slope, model.offset = calibrate(np.array([measure(t, made) for t, _ in held]), np.array([q for _, q in held], float))
     return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
-    """At most `most` labelled documents of each class, those of least text hash: the same for the same rows."""
-    own = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("h")).filter(f"t is not null and i is not null and length(t) between 20 and {chars}")
+    """At most `most` different labelled texts of each class, those of least text hash: the same for the same rows."""
+    own = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.xxhash64("text").alias("h")).filter("t <> '' and i is not null")
     marks = labels.select(F.col("doc_id").alias("i"), F.col("quality").alias("q")).filter("q in (0, 1)").groupBy("i").agg(F.min("q").alias("q"))
-    slim = own.select("i", "h").join(marks, "i")
-    chosen = [slim.filter(F.col("q") == q).select("i", "h", "q").distinct().orderBy("h", "i").limit(most) for q in (0, 1)]
+    slim = own.select("i", "h", F.expr(f"length(t) not between 20 and {chars}").alias("odd")).join(marks, "i")
+    chosen = [slim.filter(F.col("q") == q).groupBy("odd", "h", "q").agg(F.min("i").alias("i")).orderBy("odd", "h", "i").limit(most).select("i", "h", "q") for q in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    rows = own.join(F.broadcast(ids), ["i", "h"]).select("h", "i", "t", "q").collect()  # 2 * most rows at most
-    return [(r.t, int(r.q)) for r in sorted({(r.h, r.i, r.t, r.q): r for r in rows}.values(), key=lambda r: (r.h, r.i))]
+    rows = own.join(F.broadcast(ids), ["i", "h"]).select("h", "i", F.substring("t", 1, chars).alias("t"), "q").collect()  # 2 * most rows, and copies of them under one doc_id
+    return [(r.t, int(r.q)) for r in sorted({(r.h, r.q): r for r in rows}.values(), key=lambda r: (r.h, r.i))]
 
 
 def scored(docs: DataFrame, model: Model, text_col: str, extra: list[str], into: str) -> DataFrame:
