@@ -207,6 +207,13 @@ def test_secrets_in_calls(text, found):
     assert all(f not in secrets.clean(text) for f in found)
 
 
+@pytest.mark.parametrize("name", [*secrets.WEAK, "secrets.stripe", "password.value", "--password", "-password", "-Dapi.key", "-Dpwd"])
+def test_secrets_of_weak_and_dashed_names(name):
+    literal = "3f9a1c7e5b2d8064af19c3e7"
+    assert [a for _, a, _, _ in secrets.scan(f"{name}={literal}")] == [len(name) + 1]
+    assert secrets.clean(f"run {name}={literal} now") == f"run {name}={secrets.MARK} now"
+
+
 def test_unclosed_calls_take_linear_time():
     began = time.process_time()
     secrets.scan("a = f(" * 30_000)

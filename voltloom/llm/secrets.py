@@ -35,7 +35,7 @@ LIMIT = 0.5
 MARK = "[SECRET]"
 
 STATEMENT = re.compile(
-    r"""(?<![\w$.\-])(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+)["'`]?\]?
+    r"""(?<![\w$.\-])-*+(?:(?<=-)D(?=[A-Za-z_]))?+(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+)["'`]?\]?
     (?:[ \t]*:[ \t]*[A-Za-z_][\w\[\]|., ]{0,40}?(?=[ \t]*=[^=]))?
     [ \t]*+(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*+""",
     re.X,
@@ -54,7 +54,8 @@ FILLED = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)|\{([A-Za-z_]\w*)\}")
 
 STRONG = {"password", "passwd", "passphrase", "pwd", "pass", "secret", "secrets", "token", "apikey", "credential", "credentials", "creds", "bearer", "passcode", "authtoken", "privatekey", "secretkey", "accesskey", "jwt"}
 KEYED = {"api", "access", "private", "secret", "signing", "encryption", "master", "auth", "account", "storage", "service", "client", "shared", "ssh", "aes", "hmac", "session", "app"}
-WEAK = {"key": 0.55, "auth": 0.6, "authorization": 0.8, "salt": 0.6, "signature": 0.5, "sig": 0.45, "pin": 0.5, "cookie": 0.5, "session": 0.45, "dsn": 0.5, "cert": 0.4}
+#: Each weight, and the discount of earlier parts, lets a literal as plausible as a hexadecimal key (0.94) reach LIMIT.
+WEAK = {"key": 0.55, "auth": 0.6, "authorization": 0.8, "salt": 0.6, "signature": 0.55, "sig": 0.55, "pin": 0.55, "cookie": 0.55, "session": 0.55, "dsn": 0.55, "cert": 0.55}
 CALM = {"count", "counts", "limit", "length", "len", "size", "max", "min", "num", "hint", "policy", "type", "name", "field", "label", "url", "uri", "path", "file", "dir", "public", "expiry", "expires", "ttl", "format", "regex", "pattern", "prompt", "column", "header", "index", "enabled", "required", "tokenizer", "vocab", "id"}
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|-+|_+|0+|none|null|nil|true|false|undefined|todo|tbd|changeme|change[-_ ]?it|example|sample|dummy|test|testing|foo|bar|password|secret|token|your.*|my[-_]?(?:password|secret|token|key)|insert.*|enter.*|replace.*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|env\..*|process\.env.*)$", re.I)
 SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -73,7 +74,7 @@ def sensitivity(name: str) -> float:
                 own = 1.0
         if CALM & set(words):
             own *= 0.3
-        best = max(best, own * (1.0 if back == 0 else 0.5))
+        best = max(best, own * (1.0 if back == 0 else 0.55))
         if back == 2:
             break
     return best
