@@ -201,3 +201,17 @@ def test_streaming_hours(spark, tmp_path):
     tables.run_once(stream, str(tmp_path / "out"), str(tmp_path / "check"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() >= 4 and {r.kwh_hour for r in got.collect()} == {2.0}
+
+
+def test_kmeans_queries_do_the_whole_job(spark, small, monkeypatch):
+    from voltloom.plans import registry
+
+    starts, samples = [], []
+    fit, silhouette = clusters.KMeans, clusters.silhouette
+    monkeypatch.setattr(clusters, "KMeans", lambda **a: starts.append((a["k"], a["seed"])) or fit(**a))
+    monkeypatch.setattr(clusters, "silhouette", lambda df, most, *a: samples.append(most) or silhouette(df, most, *a))
+    assert registry.queries()["kmeans_search"](spark, small).count() == 3
+    assert starts == [(k, 42 + i) for k in (2, 3, 4) for i in range(3)] and samples == [5000] * 3
+    starts.clear()
+    registry.queries()["kmeans_fit"](spark, small)
+    assert starts == [(8, 42 + i) for i in range(3)]

@@ -87,12 +87,12 @@ def choose_k(found: list[tuple[int, float, float | None]]) -> int:
     return max(scored, key=lambda f: (f[2], f[0]))[0] if scored else min(found, key=lambda f: (f[1], f[0]))[0]
 
 
-def search_k(profiles: DataFrame, ks: range, seed: int = 42, most: int = 5000, vector_col: str = "profile") -> tuple[int, DataFrame]:
-    """(best k, table of k, inertia, silhouette)."""
+def search_k(profiles: DataFrame, ks: range, seed: int = 42, most: int = 5000, vector_col: str = "profile", n_init: int = 3) -> tuple[int, DataFrame]:
+    """(best k, table of k, inertia, silhouette), each k fitted from n_init starts."""
     own = profiles.withColumn("features", array_to_vector(F.col(vector_col)))
     found = []
     for k in ks:
-        model = fit(profiles, k, seed, 1, vector_col)
+        model = fit(profiles, k, seed, n_init, vector_col)
         assigned = model.transform(own).withColumnRenamed("prediction", "cluster")
         found.append((k, float(model.summary.trainingCost), silhouette(assigned, most, None, seed, vector_col)))
     return choose_k(found), profiles.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")

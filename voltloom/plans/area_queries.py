@@ -215,14 +215,14 @@ def silhouette(spark, sf_dir):
 @query()
 def kmeans_fit(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings")
-    model = clusters.fit(own, 8, n_init=1, vector_col="embedding")
+    model = clusters.fit(own, 8, vector_col="embedding")
     out = model.transform(own.withColumn("features", array_to_vector("embedding")))
     return out.select("vec_id", F.col("prediction").alias("cluster"))
 
 
 @query()
 def kmeans_search(spark, sf_dir):
-    return clusters.search_k(table(spark, sf_dir, "embeddings").select("embedding"), range(2, 5), most=1000, vector_col="embedding")[1]
+    return clusters.search_k(table(spark, sf_dir, "embeddings").select("embedding"), range(2, 5), vector_col="embedding")[1]
 
 
 def _model(spark, sf_dir):
