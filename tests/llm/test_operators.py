@@ -135,15 +135,61 @@ def test_simhash_groups(spark, odd, none):
     for r in got_rows:
         by.setdefault(r.group_id, []).append(r.doc_id)
     got = {(i, j) for m in by.values() for i in m for j in m if i > j}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    assert got == want  # no link is lost
+    apart = lambda i, j: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(sigs[i], sigs[j]))
+    different = {s: i for i, s in sigs.items()}
+    assert all(r.n_links == sum(0 < apart(r.doc_id, j) <= simhash.MOST for j in different.values()) for r in got_rows)
     planted = {(3 * g + i, 3 * g + j) for g in range(15) for i in range(3) for j in range(i)}
-    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 2
+    assert len(got & planted) >= 0.95 * len(planted) and len(got - planted) <= 2
     assert sum(r.is_kept for r in got_rows) == len(by)
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == n - sum(len(m) - 1 for m in by.values())
     rest = simhash.deduplicate(odd).collect()
     assert len(rest) == len(ODD) - 1 and sum(r.doc_id == 5 for r in rest) == 1
     assert simhash.groups(none).count() == 0 and simhash.deduplicate(none).count() == 0
+    with pytest.raises(ValueError, match="13 bits"):
+        simhash.groups(none, most=20)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_simhash_keeps_one_row_of_a_group(spark, most, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    text = "the copied text of seven other words"
+    docs = frame(spark, [(7, text, "a"), (3, text, "b"), (3, text, "a"), (None, text, "c"), (None, "own text here", "c"), (8, "quite other words about some new matter", "d"), (9, "something else entirely different", None), (10, None, "e"), (10, None, "e")])
+    for source in (docs, docs.orderBy(F.desc("source"))):
+        kept = simhash.deduplicate(source)
+        assert kept.columns == docs.columns
+        rows = sorted(map(str, kept.collect()))
+        assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, "own text here"), (3, text), (8, "quite other words about some new matter"), (9, "something else entirely different"), (10, ""), (10, "")]
+        assert rows == sorted(map(str, simhash.deduplicate(docs).collect()))
+
+
+@pytest.mark.parametrize("n", [30, 64, 65, 900])
+def test_links_of_hot_runs_equal_brute_force(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 2, simhash.BITS).astype(bool)
+    bits = np.array([base ^ (rng.random(simhash.BITS) < rng.choice([0.02, 0.06, 0.5])) for _ in range(n)])
+    bits = np.unique(np.concatenate([bits, [base, base ^ (np.arange(simhash.BITS) % 10 == 0)]]), axis=0)
+    sig = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    rows = []
+    for w in range(simhash.BITS):
+        s = np.searchsorted(simhash.EDGES, w, side="right") - 1
+        lo, hi = simhash.EDGES[s : s + 2]
+        own = bits[:, lo:hi] & (np.arange(lo, hi) != w)
+        rows += [((w << 32) + int("".join(map(str, o.astype(int))), 2), a, b) for o, (a, b) in zip(own, sig.tolist())]
+    key, a, b = (np.array(x, np.int64) for x in zip(*sorted(rows)))
+    found = simhash.run_links(key, a, b, simhash.MOST)
+    near = (bits[:, None] != bits).sum(2) <= simhash.MOST
+    links = {}
+    for x, y, _, _, k in found[found[:, 4] > 0].tolist():
+        links[x, y] = links.get((x, y), 0) + k
+    assert links == {tuple(s): int(k) - 1 for s, k in zip(sig.tolist(), near.sum(1)) if k > 1}
+    place = {tuple(s): k for k, s in enumerate(sig.tolist())}
+    edges = [(place[x, y], place[u, v]) for x, y, u, v, k in found.tolist() if k == 0]
+    assert all(near[i, j] for i, j in edges) and len(edges) <= near.sum() // 2
+    want = brute_groups([tuple(s) for s in sig.tolist()], simhash.MOST)
+    root = list(range(len(sig)))
+    for i, j in edges:
+        root = [root[i] if r == root[j] else r for r in root]
+    assert len({(w, r) for w, r in zip(want, root)}) == len(set(want)) == len(set(root))
 
 
 @pytest.mark.parametrize("most", [100_000, 0])

@@ -1,20 +1,26 @@
 """Near-duplicate groups by SimHash with deletion-variant signatures.
 
-A text's features are its distinct lower-cased words (with word pairs too where it has fewer than 8);
-a text without words is its own single feature. The signature has 128 bits. It is cut into 6 segments,
-fewer than the classic "one more than the allowed distance": of two signatures that differ in at most
-2 * 6 - 1 = 11 bits, one segment differs by at most one bit. Every segment is indexed under each of its
-variants with one bit struck out, so such a pair agrees on a variant and an equality join finds it; a pair
-up to MOST bits apart is found unless all its segments differ by two bits or more (recall on real near
-copies is measured in the tests). Candidates are verified on the whole signature.
-
-Equal signatures are one node, so thousands of exact copies cost one row. Signatures that share a variant
-meet in one run of sorted rows; a run gives the edges that connect what it verifies, not all its pairs.
-Groups are connected components, found by alternating large and small stars.
+A text's features are its distinct lower-cased words; a text without words is its own single feature. Each feature
+votes on each of the signature's 128 bits with a sign and a weight u ** -2, u uniform, both hashed from feature and
+bit; a bit is the sign of its sum. Such heavy-tailed votes make the bits that change grow in proportion to the words
+that change, not with their square root as equal votes do: texts that share nine words of ten differ by about 6 bits of
+128 (equal votes: 13), unrelated ones by about 60.
+
+Two texts are linked if their signatures differ in at most MOST = 13 bits. The signature is cut into SEGMENTS = 7
+segments, half as many as "one more than the allowed distance": 13 bits over 7 segments leave one that differs by at most
+one bit. Every segment is indexed under each of its variants with one bit struck out, so linked signatures agree on a
+variant, an equality join finds them, and the whole signature verifies them. So no link is lost: groups and numbers
+of links equal those of comparing all pairs (tests compare them).
+
+Equal signatures are one node, so thousands of exact copies cost one row. Signatures that share a variant meet in one
+run of sorted rows. A run counts each node's links (a pair counts only in the first variant that it shares) and gives
+the edges of a spanning forest, never all its pairs. Groups are connected components, found by alternating large and
+small stars.
 
 Defined results: null and empty (or blank) texts are in no group. Copies may repeat a doc_id or lack one.
-The document that stays is the one of least doc_id (nulls last), then of least text hash; of wholly repeated
-rows one stays. Other columns, whatever their names, pass through `deduplicate` untouched.
+The document that stays is the one of least doc_id (nulls last), then of least text hash; of rows repeated with id and
+text the one whose columns have the least hash stays. Other columns, whatever their names, pass through `deduplicate`
+untouched. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,26 +36,42 @@ from pyspark.sql import functions as F
 
 from voltloom.llm._shared import WordIds, cut, documents, slices, spare
 
-#: Bits that near copies' signatures may differ in; segments of the two halves (first bit, bits).
-MOST = 20
-SEGMENTS = [(half, start, size) for half in (0, 1) for start, size in ((0, 21), (21, 21), (42, 22))]
+#: Bits, segments that they are cut into, and bits in which linked signatures differ at most.
+BITS, SEGMENTS = 128, 7
+MOST = 2 * SEGMENTS - 1
+#: First bit of each segment, and the end.
+EDGES = [s * BITS // SEGMENTS for s in range(SEGMENTS + 1)]
 WORD = re.compile(r"\w+")
+#: Votes of 512 bytes that a worker remembers; words at a time that vote; up to so many words 32 bits hold any sum.
+CACHE, CHUNK, NARROW = 80_000, 40_000, 20_000
+#: Rows that drop out of a table are broadcast up to this number (of 24 bytes each).
+BROADCAST_ROWS = 500_000
 
 
 def features(text: str) -> set[str]:
-    words = WORD.findall(text.lower())
-    if len(words) < 8:
-        found = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
-        return found or ({text.strip()} if text.strip() else set())
-    return set(words)
+    return set(WORD.findall(text.lower())) or ({text.strip()} if text.strip() else set())
+
+
+#: u ** -2 of 65,536 values of u, of 2 ** -13 at least.
+_WEIGHT = np.maximum((np.arange(65_536) + 0.5) / 65_536, 2.0**-13) ** -2.0
+
+
+def votes(words: list[str]) -> np.ndarray:
+    """(word, bit): each word's whole-number vote on each bit."""
+    seed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    x = seed[:, None] + np.arange(1, BITS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = (x ^ (x >> np.uint64(31))).view(np.uint32)  # two bits' 32 random bits
+    weight = _WEIGHT.astype(np.int32)[x >> np.uint32(16)]
+    return np.where(x & np.uint32(1), weight, -weight)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, a, b): hash of the text and the two halves of its signature, null for null and blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, table = WordIds(), np.zeros((0, 16), np.uint8)
-        digest = xxhash.xxh3_128_digest
+        ids, table = WordIds(CACHE), np.zeros((0, BITS), np.int32)
         for whole in batches:
             for part in slices(whole):
                 found, lens = [], np.zeros(part.num_rows, np.int64)
@@ -57,22 +79,21 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     own = features(text) if text else ()
                     lens[j] = len(own)
                     found.append(np.fromiter(map(ids.__getitem__, own), np.int32, len(own)))
-                fresh = b"".join(digest(w.encode("utf-8", "surrogatepass")) for w in ids.fresh)
-                table = np.concatenate([table, np.frombuffer(fresh, np.uint8).reshape(-1, 16)])
+                if ids.fresh:
+                    table = np.concatenate([table, votes(ids.fresh)])
                 x = np.concatenate(found) if found else np.zeros(0, np.int32)
                 some = np.flatnonzero(lens)
                 sig = np.zeros((len(lens), 2), np.int64)
                 if len(some):
                     starts = (np.cumsum(lens) - lens)[some]
                     ends, at = starts + lens[some], 0
-                    sums = np.empty((len(some), 128), np.int32)
-                    while at < len(some):  # about 200,000 words at a time
-                        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 200_000, side="right")))
-                        bits = np.unpackbits(table[x[starts[at] : ends[to - 1]]], axis=1)
-                        kind = np.int16 if lens[some[at:to]].max() < 32_000 else np.int32
-                        sums[at:to] = np.add.reduceat(bits.astype(kind), starts[at:to] - starts[at], axis=0)
+                    up = np.empty((len(some), BITS), bool)
+                    while at < len(some):
+                        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, side="right")))
+                        kind = np.int32 if lens[some[at:to]].max() <= NARROW else np.int64
+                        up[at:to] = np.add.reduceat(table[x[starts[at] : ends[to - 1]]], starts[at:to] - starts[at], axis=0, dtype=kind) > 0
                         at = to
-                    sig[some] = np.packbits(2 * sums > lens[some, None], axis=1).view(np.int64)
+                    sig[some] = np.packbits(up, axis=1, bitorder="little").view(np.int64)
                 table = table[: ids.settle()]
                 none = lens == 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sig[:, 0], mask=none), pa.array(sig[:, 1], mask=none)], names=["doc_id", "h", "a", "b"])
@@ -81,98 +102,134 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, h long, a long, b long")
 
 
+def masks() -> np.ndarray:
+    """(segment, half): the bits of each segment in either half of a signature."""
+    out = np.zeros((SEGMENTS, 2), np.uint64)
+    for s in range(SEGMENTS):
+        for bit in range(EDGES[s], EDGES[s + 1]):
+            out[s, bit // 64] |= np.uint64(1 << bit % 64)
+    return out
+
+
 def variants(nodes: DataFrame) -> DataFrame:
-    """(key, a, b): each signature under every one-wildcard variant of every segment."""
-    shift, keep, half = [], [], []
-    for h, start, size in SEGMENTS:
-        for bit in range(size):
-            shift.append(start)
-            keep.append(((1 << size) - 1) & ~(1 << bit))
-            half.append(h)
+    """(key, a, b): each signature under every one-wildcard variant of every segment; the key is (struck bit, other bits)."""
+    parts = []
+    for lo, hi in zip(EDGES, EDGES[1:]):
+        low = F.expr(f"shiftrightunsigned(a, {lo}) & {(1 << (min(hi, 64) - lo)) - 1}L") if lo < 64 else F.lit(0).cast("long")
+        high = F.expr(f"shiftleft(shiftrightunsigned(b, {max(lo, 64) - 64}) & {(1 << (hi - max(lo, 64))) - 1}L, {max(lo, 64) - lo})") if hi > 64 else F.lit(0).cast("long")
+        parts.append(low.bitwiseOR(high))
+    segment = [s for s in range(SEGMENTS) for _ in range(EDGES[s], EDGES[s + 1])]
+    keep = [~(1 << (bit - EDGES[s])) for bit, s in enumerate(segment)]
     at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("w") + 1)
-    part = F.when(F.col("w") < half.index(1), F.col("a")).otherwise(F.col("b"))
-    value = F.expr("shiftrightunsigned(part, s)").bitwiseAND(F.col("k"))
-    return (
-        nodes.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(len(shift) - 1))))
-        .select("a", "b", "w", part.alias("part"), at(shift).alias("s"), at(keep).cast("long").alias("k"))
-        .select(value.bitwiseOR(F.shiftleft(F.col("w").cast("long"), 32)).alias("key"), "a", "b")
-    )
-
-
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bits in which two columns of longs differ (of a negative number numpy would count the magnitude's bits)."""
-    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
-
-
-def forest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within one run, just what chains of pairs at most `most` bits apart connect."""
-    left, one, two = np.arange(len(a)), [], []
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            at = front[0]
-            near = apart(a[left], a[at]) + apart(b[left], b[at]) <= most
-            one.append(np.full(int(near.sum()), at))
-            two.append(left[near])
-            front, left = np.concatenate([front[1:], left[near]]), left[~near]
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *one]), np.concatenate([empty, *two])
-
-
-def run_edges(key: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Distinct edges (a, b, a', b') of all runs of equal keys."""
+    cutup = nodes.select("a", "b", F.array(*parts).alias("parts")).withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
+    value = F.element_at("parts", at(segment) + 1).bitwiseAND(at(keep).cast("long"))
+    return cutup.select(value.bitwiseOR(F.shiftleft(F.col("w").cast("long"), 32)).alias("key"), "a", "b")
+
+
+def linked(x: np.ndarray, y: np.ndarray, w: np.ndarray | int, most: int, own: np.ndarray) -> np.ndarray:
+    """Whether pairs with differing bits x, y (of the two halves) are near, and w is the first variant that they share."""
+    near = np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= most
+    at = np.nonzero(near)
+    if len(at[0]):
+        x, y = x[at], y[at]
+        w = np.broadcast_to(w, near.shape)[at]
+        seg = np.searchsorted(EDGES, w, side="right") - 1
+        ok = np.ones(len(x), bool)
+        for s in range(SEGMENTS):
+            n = np.bitwise_count(x & own[s, 0]).astype(np.int64) + np.bitwise_count(y & own[s, 1])
+            ok &= np.where(seg > s, n > 1, (seg < s) | (n > 0) | (w == EDGES[s]))
+        near[at] = ok
+    return near
+
+
+def forest(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of the edges (one, two) between nodes 0..n-1 make a spanning forest."""
+    root, use = list(range(n)), np.zeros(len(one), bool)
+    for k, (i, j) in enumerate(zip(one.tolist(), two.tolist())):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        if i != j:
+            root[j] = i
+            use[k] = True
+    return use
+
+
+def run_links(key: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Rows (a, b, c, d, links) of all runs of equal keys: edges that connect what is linked, links 0; and for each node (a, b) its links there."""
+    a, b, own = a.view(np.uint64), b.view(np.uint64), masks()
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))
     one, two = [], []
-    for n in np.unique(size[size > 1]):
+    out = [np.zeros((0, 5), np.int64)]
+    links = np.zeros(len(key), np.int64)
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        ok = linked(a[i] ^ a[j], b[i] ^ b[j], key[i] >> 32, most, own)
+        one.append(i[ok])
+        two.append(j[ok])
+
+    for n in np.unique(size[size > 1]).tolist():
         starts = begin[size == n]
-        if n <= 12:
-            for i in range(n):
-                for j in range(i + 1, n):
-                    one.append(starts + i)
-                    two.append(starts + j)
-        else:
-            for s in starts:
-                x, y = forest(a[s : s + n], b[s : s + n], most)
-                one.append(x + s)
-                two.append(y + s)
-    if not one:
-        return np.zeros((0, 4), np.int64)
-    x, y = np.concatenate(one), np.concatenate(two)
-    near = apart(a[x], a[y]) + apart(b[x], b[y]) <= most
-    x, y = x[near], y[near]
-    swap = (a[x] > a[y]) | ((a[x] == a[y]) & (b[x] > b[y]))
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    return np.unique(np.stack([a[x], b[x], a[y], b[y]], 1), axis=0) if len(x) else np.zeros((0, 4), np.int64)
-
-
-def edges(nodes: DataFrame, most: int = MOST) -> DataFrame:
-    """(u, v), u < v: verified pairs that connect near signatures. u and v are structs (a, b)."""
+        if n <= 64:  # all runs of this size at once, in parts
+            i, j = np.triu_indices(n, 1)
+            for k in range(0, len(starts), max(1, 500_000 // len(i))):
+                base = starts[k : k + max(1, 500_000 // len(i)), None]
+                take((base + i).ravel(), (base + j).ravel())
+            continue
+        for s in starts.tolist():
+            x, y = a[s : s + n], b[s : s + n]
+            joined = np.zeros((0, 2), np.int64)
+            step = max(1, 1_000_000 // n)
+            for k in range(0, n, step):  # a block of rows with all after them
+                ok = linked(x[k : k + step, None] ^ x[k:], y[k : k + step, None] ^ y[k:], int(key[s]) >> 32, most, own)
+                i, j = np.nonzero(ok)
+                i, j = i[i < j] + k, j[i < j] + k
+                links[s : s + n] += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+                i, j = np.concatenate([joined[:, 0], i]), np.concatenate([joined[:, 1], j])
+                use = forest(n, i, j)
+                joined = np.stack([i[use], j[use]], 1)
+            i, j = joined.T + s
+            out.append(np.stack([a[i].view(np.int64), b[i].view(np.int64), a[j].view(np.int64), b[j].view(np.int64), np.zeros(len(i), np.int64)], 1))
+    if one:
+        i, j = np.concatenate(one), np.concatenate(two)
+        links += np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+        out.append(np.stack([a[i].view(np.int64), b[i].view(np.int64), a[j].view(np.int64), b[j].view(np.int64), np.zeros(len(i), np.int64)], 1))
+    some = np.flatnonzero(links)
+    x, y = a[some].view(np.int64), b[some].view(np.int64)
+    return np.concatenate([*out, np.stack([x, y, x, y, links[some]], 1)])
+
+
+def pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b, c, d, links) as of `run_links`, over all variants of all nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
-        give = lambda e: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(4)], names=["a", "b", "c", "d"])
+        give = lambda e: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(5)], names=["a", "b", "c", "d", "links"])
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
             last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
             if last:
-                yield give(run_edges(*(x[:last] for x in held), most))
+                yield give(run_links(*(x[:last] for x in held), most))
                 held = [x[last:] for x in held]
-        yield give(run_edges(*held, most))
+        if len(held[0]):
+            yield give(run_links(*held, most))
 
     index = variants(nodes).repartition(F.col("key")).sortWithinPartitions("key")
-    found = index.mapInArrow(run, "a long, b long, c long, d long").distinct()
-    return found.select(F.struct("a", "b").alias("u"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("v"))
+    return index.mapInArrow(run, "a long, b long, c long, d long, links long")
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for every node of (u, v); alternating stars.
 
     Every round is a checkpoint; the number of rounds grows with the logarithm of the largest diameter.
     """
-    now, mark = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    now, mark = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -189,44 +246,59 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, root) of every document that has a near or exact copy."""
+    """(doc_id, h, root, n_links) of every document that has a near or exact copy; n_links counts different signatures linked to its own."""
+    if not 0 <= most <= MOST:
+        raise ValueError(f"segments find all links of 0 to {MOST} bits, not of {most}")
     sigs = cut(signatures(docs, id_col, text_col).filter("a is not null"))
-    nodes = sigs.groupBy("a", "b").agg(F.count("*").alias("copies"))
-    nodes = cut(nodes)
-    roots = components(edges(nodes.select("a", "b"), most))
+    nodes = cut(sigs.groupBy("a", "b").agg(F.count("*").alias("copies")))
+    found = cut(pairs(nodes.select("a", "b"), most))
+    links = found.filter("links > 0").groupBy("a", "b").agg(F.sum("links").alias("n_links"))
+    roots = components(found.filter("links = 0").select(F.struct("a", "b").alias("u"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("v")))
+    linked = roots.join(links.select(F.struct("a", "b").alias("node"), "n_links"), "node")
     exact = nodes.filter("copies > 1").select(F.struct("a", "b").alias("node"))
-    grouped = exact.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")).unionByName(roots)
-    return sigs.select("doc_id", "h", F.struct("a", "b").alias("node")).join(grouped, "node").select("doc_id", "h", "root")
+    grouped = exact.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("n_links")).unionByName(linked)
+    return sigs.select("doc_id", "h", F.struct("a", "b").alias("node")).join(grouped, "node").select("doc_id", "h", "root", "n_links")
 
 
 def groups(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, group_size, is_kept) of all documents in groups of two or more; group_id is the least doc_id."""
+    """(doc_id, group_id, group_size, n_links, is_kept) of all documents in groups of two or more; group_id is the least doc_id."""
     own = cut(members(docs, most, id_col, text_col))
     whole = own.groupBy("root").agg(F.min(order()).alias("first"), F.count("*").alias("group_size"))
-    rank = F.struct(F.col("doc_id"), F.col("h")).eqNullSafe(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")))
-    return own.join(whole, "root").select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", rank.alias("is_kept"))
+    return own.join(whole, "root").select("doc_id", F.col("first.doc_id").alias("group_id"), "group_size", "n_links", is_first().alias("is_kept"))
 
 
 def order() -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
 
 
+def is_first() -> F.Column:
+    return F.struct(F.col("doc_id"), F.col("h")).eqNullSafe(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")))
+
+
 def deduplicate(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: one row of each group stays; columns stay as they are."""
+    """docs without near copies: one row of each group stays; columns stay as they are.
+
+    Only (doc_id, text hash) of the rows that go meet the documents. They are counted first: up to BROADCAST_ROWS they are
+    broadcast, so texts don't move; beyond that Spark shuffles both sides once.
+    """
     own = cut(members(docs, most, id_col, text_col))
     first = own.groupBy("root").agg(F.min(order()).alias("first"))
-    names = [spare(docs, n) for n in ("voltloom_id", "voltloom_h", "voltloom_keep", "voltloom_rows", "voltloom_n")]
-    i, h, keep, rows, n = names
-    verdict = own.groupBy("root", "doc_id", "h").agg(F.count("*").alias(rows)).join(first, "root")
-    is_first = F.struct(F.col("doc_id"), F.col("h")).eqNullSafe(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h")))
-    verdict = cut(verdict.select(F.col("doc_id").alias(i), F.col("h").alias(h), is_first.alias(keep), rows))
-    key = [F.col(f"`{id_col}`").eqNullSafe(F.col(i)), F.xxhash64(F.col(f"`{text_col}`")) == F.col(h)]
-    out = docs.join(verdict, key[0] & key[1], "left")
-    once = out.filter(F.col(keep).isNull() | (F.col(keep) & (F.col(rows) == 1))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    if verdict.filter(F.col(keep) & (F.col(rows) > 1)).isEmpty():
-        return once
-    again = out.filter(F.col(keep) & (F.col(rows) > 1)).withColumn(n, F.row_number().over(Window.partitionBy(i, h).orderBy(F.lit(1))))
-    return once.unionByName(again.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    i, h, n = (spare(docs, name) for name in ("voltloom_id", "voltloom_h", "voltloom_n"))
+    verdict = own.groupBy("root", "doc_id", "h").agg(F.count("*").alias("rows")).join(first, "root").withColumn("stays", is_first())
+    verdict = cut(verdict.filter("not stays or rows > 1").select(F.col("doc_id").alias(i), F.col("h").alias(h), F.col("stays").alias(n)))
+    found = verdict.groupBy(n).count().collect()  # two rows at most
+    small = F.broadcast if sum(r["count"] for r in found) <= BROADCAST_ROWS else lambda df: df
+    key = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(h))
+    if not found:
+        return docs
+    out = docs.join(small(verdict), key, "left_anti")
+    if not any(r[n] for r in found):
+        return out
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    again = docs.join(small(verdict.filter(F.col(n)).select(i, h)), key)
+    whole = F.xxhash64(*[c for c, f in zip(columns, docs.schema.fields) if "map<" not in f.dataType.simpleString()])
+    once = again.withColumn(n, F.row_number().over(Window.partitionBy(i, h).orderBy(whole))).filter(F.col(n) == 1)
+    return out.unionByName(once.select(*columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
