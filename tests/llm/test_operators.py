@@ -293,24 +293,53 @@ def test_transfers_move_the_least():
         assert all(sum(b for _, j, b in plan if j == k) <= c for k, c in enumerate(new))
 
 
-def test_reshard_rewrites_what_it_plans(spark, tmp_path, none):
-    rows = [(i, None if i % 9 == 0 else "w" * (i % 40), "s") for i in range(300)] + [(5, "same", "s")] * 2
+def brute_reshard(files, capacities):
+    """Of each new shard its rows in order, by laying the planned bytes of every old file over its rows one by one; files: rows of (id, bytes)."""
+    out = {}
+    for i, j, size in reshard.transfers([sum(b for _, b in f) for f in files], capacities):
+        out.setdefault(i, []).append([j, size])
+    shards = {}
+    for i, rows in enumerate(files):
+        at, plan = 0, [(sum(s for _, s in out[i][:k]), j) for k, (j, _) in enumerate(out[i])]
+        for name, size in rows:
+            j = [j for begin, j in plan if begin <= at][-1]
+            shards.setdefault(j, []).append((i, name))
+            at += size
+    return shards
+
+
+@pytest.mark.parametrize(("most", "chunk"), [(200_000, 1 << 16), (0, 7)])
+def test_reshard_rewrites_what_it_plans(spark, tmp_path, none, most, chunk, monkeypatch):
+    monkeypatch.setattr(reshard, "BROADCAST_BLOCKS", most)
+    monkeypatch.setattr(reshard, "CHUNK", chunk)
+    rows = [(i, None if i % 9 == 0 else LONG[:9000] if i == 40 else "w" * (i % 40), "s") for i in range(300)] + [(5, "same", "s")] * 2
     path, to = str(tmp_path / "old"), str(tmp_path / "new")
     frame(spark, rows).repartition(3).write.parquet(path)
-    made = reshard.plan(spark, path, target_bytes=2000)
+    made = reshard.plan(spark, path, capacities=[2000, 12_000, 3000, 6000])
     written = reshard.rewrite(spark, path, made, to)
-    table, (old, new, size) = reshard.assigned(spark, [path], made.blocks)
-    assert table.count() == len(rows)
+    own, (file, row, size) = reshard.rows(spark, [path])
+    files = [[(r[0], r[1]) for r in own.filter(F.col(file) == f).orderBy(row).select("doc_id", size).collect()] for f in made.files]
+    want = brute_reshard(files, made.capacities)
+    for j in written:
+        got = spark.read.parquet(f"{to}/shard={j}")
+        assert got.columns == frame(spark, []).columns and len(got.inputFiles()) == 1
+        assert [r.doc_id for r in got.withColumn("k", F.col("_metadata.row_index")).orderBy("k").collect()] == [name for _, name in want[j]]
+    assert {j for j in want if {i for i, _ in want[j]} != {j}} <= set(written)
+    table, (old, new, size, row) = reshard.assigned(spark, [path], made.blocks)
     moved = {r[0]: r[1] for r in table.groupBy(new).agg(F.sum(size)).collect()}
-    assert max(moved.values()) <= made.capacities[0] + 60 * 3
-    got = spark.read.parquet(to)
-    want = table.filter(F.col(new).isin(written))
-    assert got.count() == want.count() and sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    assert table.count() == len(rows) and all(moved[j] <= made.capacities[j] + 9100 for j in moved)
     empty = str(tmp_path / "none")
     none.write.parquet(empty)
     assert reshard.plan(spark, empty).blocks is None
 
 
+def test_reshard_moves_text_once(spark, small, tmp_path, monkeypatch):
+    made = reshard.plan(spark, f"{small}/documents.parquet", target_bytes=100_000)
+    table, _ = reshard.assigned(spark, [f"{small}/documents.parquet"], made.blocks)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_classifier_on_held_out_rows(spark, odd, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = zclass.train(zclass.sample(docs, labels.filter("doc_id % 2 = 0")))

@@ -7,7 +7,10 @@ shard, moving the fewest. Each flow is a block: a run of consecutive rows of the
 Shards that neither lose nor receive a block are not touched; the files of the others are written again.
 
 The flow has a node for each file and each new shard and a hub between them, so it grows with the number of
-files, not of their pairs. Row sizes are summed and cut on (file, row number, bytes) only; text is moved once.
+files, not of their pairs. Row sizes are summed and cut on (file, row number, bytes) only, in chunks of CHUNK rows, so
+a large file is no single task. Blocks are counted; up to BROADCAST_BLOCKS they are broadcast to the files' rows, beyond
+that both meet by (file, chunk). So text crosses one exchange: that which brings each affected shard's rows to the
+task that writes it, in order of old shard and row.
 
 Defined results: rows with null columns, repeated rows and empty texts are rows like all others (a null text has
 0 bytes, every row ROW_BYTES more). A shard may exceed its capacity by less than one row for each block it receives.
@@ -27,6 +30,8 @@ from voltloom.llm._shared import cut, shared_dir, spare
 
 TARGET_BYTES = 128 << 20
 ROW_BYTES = 16
+#: Rows of a file whose sizes are summed in one group; blocks (of about 150 bytes) that are broadcast.
+CHUNK, BROADCAST_BLOCKS = 1 << 16, 200_000
 
 
 class Flow:
@@ -162,36 +167,46 @@ def plan(spark: SparkSession, path: str, capacities: list[int] | None = None, ta
         cuts.append((shards[i][0], i, j, start, start + b))
         at[i] = start + b
     table_of = spark.createDataFrame(cuts, "file string, old int, new int, low long, high long")
-    place = slim.withColumn("begin", F.sum("size").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    # a row belongs to the block in which its first byte lies
-    blocks = place.join(table_of, "file").filter("begin >= low and begin < high").groupBy("file", "old", "new").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    slim = slim.withColumn("chunk", F.expr(f"row div {CHUNK}"))
+    whole = slim.groupBy("file", "chunk").agg(F.sum("size").alias("total"))
+    before = whole.select("file", "chunk", (F.sum("total").over(Window.partitionBy("file").orderBy("chunk")) - F.col("total")).alias("before"), "total")
+    # of each chunk the blocks that it touches; a row belongs to the block in which its first byte lies
+    near = before.join(F.broadcast(table_of) if len(cuts) <= BROADCAST_BLOCKS else table_of, "file").filter("before < high and before + total > low")
+    own = slim.withColumn("begin", F.sum("size").over(Window.partitionBy("file", "chunk").orderBy("row")) - F.col("size"))
+    own = own.join(near.drop("total"), ["file", "chunk"]).filter("before + begin >= low and before + begin < high")
+    blocks = own.groupBy("file", "old", "new").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     return Plan([f for f, _ in shards], capacities, cut(blocks), sum(b for i, j, b in found if i != j))
 
 
 def assigned(spark: SparkSession, paths: list[str], blocks: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """The rows of the blocks with (old shard, new shard, bytes), and these columns' names."""
+    """The rows of the blocks with (old shard, new shard, bytes, row number in the old shard), and these columns' names."""
     table, (file, row, size) = rows(spark, paths, text_col)
-    old, new = spare(table, "voltloom_old"), spare(table, "voltloom_new")
-    blocks = blocks.select(F.col("file").alias(file), F.col("old").alias(old), F.col("new").alias(new), "first_row", "last_row")
-    b_first, b_last = spare(table, "voltloom_first"), spare(table, "voltloom_last")
-    blocks = blocks.withColumnsRenamed({"first_row": b_first, "last_row": b_last})
-    out = table.join(blocks, file).filter((F.col(row) >= F.col(b_first)) & (F.col(row) <= F.col(b_last))).drop(file, row, b_first, b_last)
-    return out, [old, new, size]
+    old, new, first, last, chunk = (spare(table, f"voltloom_{n}") for n in ("old", "new", "first", "last", "chunk"))
+    blocks = blocks.select(F.col("file").alias(file), F.col("old").alias(old), F.col("new").alias(new), F.col("first_row").alias(first), F.col("last_row").alias(last))
+    inside = F.col(row).between(F.col(first), F.col(last))
+    if blocks.count() <= BROADCAST_BLOCKS:
+        out = table.join(F.broadcast(blocks), (table[file] == blocks[file]) & inside)
+        return out.drop(blocks[file]).drop(file, first, last), [old, new, size, row]
+    blocks = blocks.withColumn(chunk, F.explode(F.sequence(F.expr(f"{first} div {CHUNK}"), F.expr(f"{last} div {CHUNK}"))))
+    out = table.withColumn(chunk, F.expr(f"{row} div {CHUNK}")).join(blocks, [file, chunk]).filter(inside)
+    return out.drop(file, chunk, first, last), [old, new, size, row]
 
 
 def rewrite(spark: SparkSession, path: str, made: Plan, to: str, text_col: str = "text") -> list[int]:
-    """Write the affected new shards below `to`, as folders shard=N; returns their numbers. Others stay where they are."""
+    """Write the affected new shards below `to`, as folders shard=N of one file each; returns their numbers. Others stay where they are."""
     blocks = made.blocks.select("old", "new").distinct().collect() if made.blocks is not None else []  # of the number of files
-    affected = {r.new for r in blocks if r.old != r.new} | {r.old for r in blocks if r.old != r.new and r.old < len(made.capacities)}
+    affected = sorted({r.new for r in blocks if r.old != r.new} | {r.old for r in blocks if r.old != r.new and r.old < len(made.capacities)})
     if not affected:
         return []
     sources = [made.files[i] for i in sorted({r.old for r in blocks if r.new in affected})]
-    wanted = made.blocks.join(spark.createDataFrame([(j,) for j in affected], "new int"), "new", "left_semi")
-    table, (old, new, size) = assigned(spark, sources, wanted, text_col)
+    numbers = spark.createDataFrame(list(enumerate(affected)), "task int, new int")
+    place = made.blocks.join(numbers, "new").withColumn("new", F.col("new") * F.lit(1 << 32) + F.col("task"))
+    table, (old, new, size, row) = assigned(spark, sources, place, text_col)
     shard = spare(table, "shard")
-    table = table.drop(old, size).withColumnRenamed(new, shard)
-    table.repartition(len(affected), shard).write.partitionBy(shard).parquet(to)
-    return sorted(affected)
+    table = table.repartitionById(len(affected), F.col(new).bitwiseAND((1 << 32) - 1).cast("int"))  # a task for each shard
+    table = table.withColumn(shard, F.shiftright(new, 32).cast("int")).sortWithinPartitions(shard, old, row)
+    table.drop(old, new, size, row).write.partitionBy(shard).parquet(to)
+    return affected
 
 
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,5 +216,5 @@ def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     if made.blocks is None:
         return spark.read.parquet(path).selectExpr("doc_id", "0 old_shard", "0 new_shard", "0L n_bytes", "false moved")
     rewrite(spark, path, made, f"{shared_dir(spark)}/reshard-{uuid.uuid4().hex}")
-    table, (old, new, size) = assigned(spark, [path], made.blocks)
+    table, (old, new, size, _) = assigned(spark, [path], made.blocks)
     return table.select("doc_id", F.col(old).alias("old_shard"), F.col(new).alias("new_shard"), F.col(size).alias("n_bytes"), (F.col(old) != F.col(new)).alias("moved"))
