@@ -27,23 +27,24 @@ from voltloom.llm._shared import cut, documents, spare
 HOST_LIMIT = 0.5
 BROADCAST_HOSTS, SALTS = 100_000, 64
 SYMBOLS = "#$%&*|!<>{}[]\\^~_"
+#: Letters of the rule of capitals: those of ASCII and Latin-1.
+LETTERS = "".join(chr(c) for a, b in ((65, 91), (97, 123), (0xC0, 0xD7), (0xD8, 0xF7), (0xF8, 0x100)) for c in range(a, b))
 
 
-def flags(text: F.Column) -> F.Column:
-    """Struct of the four rules' results; true is a failure."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"[ \n\t\r]+"), lambda w: w != "")
+def counts(text: F.Column) -> tuple[F.Column, ...]:
+    """Symbols, capitals, letters, list of words and characters of a text; what few characters match is removed, not what many do."""
     n = F.length(text)
     symbols = n - F.length(F.translate(text, SYMBOLS, ""))
-    capitals = F.length(F.regexp_replace(text, "[^A-ZÀ-ÖØ-Þ]+", ""))
-    letters = F.length(F.regexp_replace(text, "[^A-Za-zÀ-ÖØ-öø-ÿ]+", ""))
+    capitals = n - F.length(F.regexp_replace(text, "[A-ZÀ-ÖØ-Þ]+", ""))
+    letters = n - F.length(F.translate(text, LETTERS, ""))
+    words = F.filter(F.split(text, r"[ \n\t\r]+"), lambda w: w != "")
     return symbols, capitals, letters, words, n
 
 
 def judged(docs: DataFrame, text_col: str = "text", into: str = "voltloom_rules") -> DataFrame:
     """docs with a struct column of the rules that each row fails."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    symbols, capitals, letters, words, n = flags(text)
+    symbols, capitals, letters, words, n = counts(text)
     part = spare(docs, "voltloom_parts")
     repeats = F.aggregate(part_of(part, "w"), F.struct(F.lit("").alias("last"), F.lit(0).alias("n")), lambda a, w: F.struct(w.alias("last"), (a["n"] + (a["last"] == w).cast("int")).alias("n")), lambda a: a["n"])
     out = docs.withColumn(part, F.struct(symbols.alias("s"), capitals.alias("c"), letters.alias("l"), words.alias("w"), n.alias("n")))
