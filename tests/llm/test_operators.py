@@ -408,7 +408,7 @@ def test_pii_in_joined_and_long_words():
 
 def brute_topk(rows, k):
     out = []
-    good = [(n, i, np.array(v, float)) for n, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(n, i, np.array(v, float)) for n, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) and abs(x) < 1e150 for x in v)]
     for n, i, q in good:
         own = sorted(((-float(q @ p), j is None, j or 0, m) for m, j, p in good if m != n and len(p) == len(q)))[:k]
         out += [(i, r + 1, None if none_ else j, -s) for r, (s, none_, j, _) in enumerate(own)]
@@ -421,14 +421,16 @@ def test_topk_equals_brute_force(spark, spread, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in (base[i % 6] + 0.3 * rng.normal(size=8)) * np.exp(spread * rng.normal())]) for i in range(220)]
-    rows += [(300 + i, rows[0][1]) for i in range(15)] + [(400, None), (401, []), (402, [1.0, None] + [0.0] * 6), (403, [float("nan")] * 8), (None, rows[1][1]), (404, [0.0] * 8), (405, [1.0, 2.0]), (406, [3.0, 4.0]), (405, [1.0, 2.0])]
+    rows += [(300 + i, rows[0][1]) for i in range(15)] + [(400, None), (401, []), (402, [1.0, None] + [0.0] * 6), (403, [float("nan")] * 8), (None, rows[1][1]), (404, [0.0] * 8), (405, [1.0, 2.0]), (406, [3.0, 4.0]), (405, [1.0, 2.0]), (2**63 - 1, rows[2][1]), (-(2**63), rows[2][1]), (407, [1e200] * 8)]
     df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows], "vec_id long, embedding array<double>, dim int, pos int, norm string")
     by = lambda r: str(r[:3])
     got = sorted([(r.vec_id, r.rank, r.neighbor_id, r.score) for r in topk.search(df, 5).collect()], key=by)
     want = sorted(brute_topk(rows, 5), key=by)
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-6)
-    assert topk.search(df.filter("vec_id < 0"), 5).count() == 0
+    some = sorted([(r.vec_id, r.rank, r.neighbor_id, r.score) for r in topk.search(df, 5, asked="vec_id % 100 = 0").collect()], key=by)
+    assert some == [g for g in got if g[0] is not None and g[0] % 100 == 0] and len(some) == 20
+    assert topk.search(df.filter("vec_id = 0.5"), 5).count() == 0 and topk.search(df, 5, asked="vec_id = 12345").count() == 0
 
 
 def test_packing(spark, odd, none):

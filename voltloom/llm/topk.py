@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product, with norm-bucketed retrieval. Every row is a query.
+"""Exact top-k search by inner product, with norm-bucketed retrieval, of a stated set of queries against all rows.
 
 Vectors are written once to the shared folder, longest first, and read in buckets of similar length (the
 shortest has at least RATIO of the longest, or the bucket is small). A task holds a block of queries and walks
@@ -13,14 +13,19 @@ bucket with longest vector l can only matter where the cosine reaches the local
 Products are first taken in single precision with a bound on their error; what can still enter is verified in double
 precision. The result is exact: nothing is capped, and equal scores go to the least id, then the first row.
 
-Defined results: null and empty vectors, and those with null or non-finite elements, are neither queries nor answers.
+`search` takes every row as a query, or those that a condition names; all rows can be answers. The registered query
+searches for the rows whose id is divisible by 100.
+
+Defined results: null and empty vectors, those with null or non-finite elements and those whose squared length no double
+can hold are neither queries nor answers.
 Vectors are compared with those of their own dimension only. A row is never its own answer; repeated rows (also of
 one id) are each a query and answer one another. With fewer than k others, all are given; an empty table gives an
-empty result. Null ids come last among equal scores. Other columns, whatever their names, are left out.
+empty result, so does a condition that no row meets. Null ids come last among equal scores. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -40,14 +45,15 @@ RATIO, COSINE = 0.9, 0.6
 BUCKET, LEAST, CHUNK, BLOCK = 4096, 256, 1024, 16_384
 #: Bytes of vectors in one written file, about.
 FILE_BYTES = 64 << 20
-NO_ID = np.iinfo(np.int64).max
+#: Names that Hadoop has for what pyarrow calls s3.
+S3 = re.compile(r"^s3[an]:")
 
 
 class Bucket:
     """Vectors of similar length, longest first, with lazily sorted coordinates."""
 
-    def __init__(self, x: np.ndarray, norm: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> None:
-        self.x, self.norm, self.pos, self.ids = x, norm, pos, ids
+    def __init__(self, x: np.ndarray, norm: np.ndarray, pos: np.ndarray, ids: np.ndarray, lacks: np.ndarray) -> None:
+        self.x, self.norm, self.pos, self.ids, self.lacks = x, norm, pos, ids, lacks
         self.single, self.sorted = x.astype(np.float32), {}
 
     def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +65,12 @@ class Bucket:
         return self.sorted[f]
 
 
-def buckets(x: np.ndarray, norm: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> Iterator[Bucket]:
+def buckets(x: np.ndarray, norm: np.ndarray, pos: np.ndarray, ids: np.ndarray, lacks: np.ndarray) -> Iterator[Bucket]:
     at = 0
     while at < len(norm):
         alike = int(np.searchsorted(-norm, -RATIO * norm[at], side="right"))
         to = min(at + BUCKET, len(norm), max(alike, at + LEAST))
-        yield Bucket(x[at:to], norm[at:to], pos[at:to], ids[at:to])
+        yield Bucket(x[at:to], norm[at:to], pos[at:to], ids[at:to], lacks[at:to])
         at = to
 
 
@@ -74,7 +80,8 @@ class Best:
     def __init__(self, x: np.ndarray, norm: np.ndarray, pos: np.ndarray, k: int) -> None:
         self.x, self.norm, self.pos, self.k = x, norm, pos, k
         self.single, self.done = x.astype(np.float32), np.zeros(len(x), bool)
-        self.score, self.id, self.at = np.full((len(x), k), -np.inf), np.full((len(x), k), NO_ID), np.full((len(x), k), -1, np.int64)
+        self.score, self.id, self.at = np.full((len(x), k), -np.inf), np.zeros((len(x), k), np.int64), np.full((len(x), k), -1, np.int64)
+        self.lacks = np.ones((len(x), k), bool)  # whether the answer has no id
         self.focus = np.abs(x).argmax(1)
         self.lead = x[np.arange(len(x)), self.focus] / np.where(norm > 0, norm, 1)
         #: bound on a single precision product's error, for vectors of length 1
@@ -121,48 +128,49 @@ class Best:
         row, col = row[ok], col[ok]
         if not len(row):
             return
-        x, ids = b.x[some], b.ids[some]
+        x, ids, lacks = b.x[some], b.ids[some], b.lacks[some]
         score = np.concatenate([np.einsum("ij,ij->i", self.x[own[row[a : a + 100_000]]], x[col[a : a + 100_000]]) for a in range(0, len(row), 100_000)])
         hit = np.unique(row)
         q = np.concatenate([np.repeat(hit, self.k), row])
         score = np.concatenate([self.score[own[hit]].ravel(), score])
         ids = np.concatenate([self.id[own[hit]].ravel(), ids[col]])
+        lacks = np.concatenate([self.lacks[own[hit]].ravel(), lacks[col]])
         at = np.concatenate([self.at[own[hit]].ravel(), pos[col]])
-        order = np.lexsort((at, ids, -score, q))
+        order = np.lexsort((at, ids, lacks, -score, q))
         begin = np.searchsorted(q[order], hit)
         take = order[begin[:, None] + np.arange(self.k)]
-        self.score[own[hit]], self.id[own[hit]], self.at[own[hit]] = score[take], ids[take], at[take]
+        self.score[own[hit]], self.id[own[hit]], self.at[own[hit]], self.lacks[own[hit]] = score[take], ids[take], at[take], lacks[take]
 
 
 def arrays(part: pa.RecordBatch | pa.Table, dim: int) -> tuple[np.ndarray, ...]:
     own = part.filter(pc.equal(part.column("dim"), dim))
     flat = own.column("v").combine_chunks() if isinstance(own.column("v"), pa.ChunkedArray) else own.column("v")
     x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    ids = pc.fill_null(own.column("id"), NO_ID)
-    return x, np.sqrt((x * x).sum(1)), np.asarray(own.column("pos")), np.asarray(ids), own
+    ids = own.column("id")
+    return x, np.sqrt((x * x).sum(1)), np.asarray(own.column("pos")), np.asarray(pc.fill_null(ids, 0)), np.asarray(pc.is_null(ids)), own
 
 
-def written(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[str, int]:
-    """Folder with (id, dim, norm, pos, v), longest first within a dimension, and its number of rows."""
+def written(vectors: DataFrame, id_col: str, vector_col: str, asked: str) -> tuple[str, int]:
+    """Folder with (id, dim, norm, pos, v, asked), longest first within a dimension, and its number of queries."""
     spark = vectors.sparkSession
     v = F.col(f"`{vector_col}`")
-    slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter("v is not null and size(v) > 0")
+    slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), F.coalesce(F.expr(asked), F.lit(False)).alias("asked")).filter("v is not null and size(v) > 0")
     slim = slim.withColumn("norm", F.expr("aggregate(v, 0D, (s, e) -> s + cast(e as double) * e)"))  # null where an element is
     slim = slim.filter("norm is not null and not isnan(norm) and norm < double('infinity')").withColumn("norm", F.sqrt("norm")).withColumn("dim", F.size("v"))
     at = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
     slim.write.parquet(f"{at}/rows")
     slim = spark.read.parquet(f"{at}/rows")
-    total = slim.agg(F.count("*").alias("n"), F.sum("dim").alias("cells")).first()
+    total = slim.agg(F.count_if("asked").alias("n"), F.sum("dim").alias("cells")).first()
     files = max(1, (total.cells or 0) * 8 // FILE_BYTES)
     spread = slim.repartitionByRange(files, "dim", F.desc("norm"), "id").sortWithinPartitions("dim", F.desc("norm"), "id")
     spread.withColumn("pos", F.monotonically_increasing_id()).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/sorted")
     return f"{at}/sorted", total.n
 
 
-def search(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbor_id, score) of every query's k best answers. Ids are whole numbers."""
+def search(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", asked: str = "true") -> DataFrame:
+    """(vec_id, rank, neighbor_id, score) of the k best answers of every row that meets the condition `asked`. Ids are whole numbers."""
     spark = vectors.sparkSession
-    path, n = written(vectors, id_col, vector_col)
+    path, n = written(vectors, id_col, vector_col, asked)
     table = spark.read.parquet(path)
     dims = table.groupBy("dim", F.col("_metadata.file_path").alias("file")).agg(F.max("norm").alias("longest"), F.min("pos").alias("first")).collect() if n else []  # a row for each file
     where: dict[int, list[tuple[str, float]]] = {}
@@ -171,24 +179,23 @@ def search(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: s
 
     def answer(held: pa.Table) -> Iterator[pa.RecordBatch]:
         for dim in np.unique(np.asarray(held.column("dim"))).tolist():
-            x, norm, pos, _, own = arrays(held, dim)
+            x, norm, pos, _, _, own = arrays(held, dim)
             chunks = [Best(x[a : a + CHUNK], norm[a : a + CHUNK], pos[a : a + CHUNK], k) for a in range(0, len(x), CHUNK)]
             for file, longest in where[dim]:
                 if all((c.done | (c.norm * longest * (1 + 1e-9) < c.score[:, -1])).all() for c in chunks):
                     break
-                system, name = fs.FileSystem.from_uri(file)
+                system, name = fs.FileSystem.from_uri(S3.sub("s3:", file))
                 with system.open_input_file(name) as f:
                     for group in pq.ParquetFile(f).iter_batches(batch_size=8 * BUCKET, columns=["id", "dim", "pos", "v"]):
-                        px, pnorm, ppos, pids, _ = arrays(group, dim)
-                        for b in buckets(px, pnorm, ppos, pids):
+                        px, pnorm, ppos, pids, plack, _ = arrays(group, dim)
+                        for b in buckets(px, pnorm, ppos, pids, plack):
                             for c in chunks:
                                 if not c.done.all():
                                     c.see(b)
-            score, at, ids = (np.concatenate([getattr(c, a) for c in chunks]) for a in ("score", "at", "id"))
+            score, at, ids, lacks = (np.concatenate([getattr(c, a) for c in chunks]) for a in ("score", "at", "id", "lacks"))
             row, col = np.nonzero(at >= 0)
-            found = ids[row, col]
             yield pa.RecordBatch.from_arrays(
-                [own.column("id").combine_chunks().take(pa.array(row)), pa.array(col + 1), pa.array(found, mask=found == NO_ID), pa.array(score[row, col])], names=["vec_id", "rank", "neighbor_id", "score"]
+                [own.column("id").combine_chunks().take(pa.array(row)), pa.array(col + 1), pa.array(ids[row, col], mask=lacks[row, col]), pa.array(score[row, col])], names=["vec_id", "rank", "neighbor_id", "score"]
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,17 +209,17 @@ def search(vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: s
             yield from answer(pa.Table.from_batches(held))
 
     parts = max(1, min(n, max(2 * spark.sparkContext.defaultParallelism, -(-n // BLOCK))))
-    queries = table.select("id", "dim", "pos", "v").repartition(parts, "pos")
+    queries = table.filter("asked").select("id", "dim", "pos", "v").repartition(parts, "pos")
     return queries.mapInArrow(run, "vec_id long, rank long, neighbor_id long, score double").withColumn("score", F.round("score", 6))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), asked="vec_id % 100 = 0")
 
 
 ORACLE = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_inner_product(a.v, b.v) AS score FROM e a, e b WHERE a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_inner_product(a.v, b.v) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank, neighbor_id, score FROM s)
 SELECT vec_id, rank, neighbor_id, round(score, 6) AS score FROM r WHERE rank <= 10
 """
