@@ -341,10 +341,11 @@ def test_reshard_moves_text_once(spark, small, tmp_path, monkeypatch):
 
 
 def test_classifier_on_held_out_rows(spark, odd, none):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = zclass.train(zclass.sample(docs, labels.filter("doc_id % 2 = 0")))
     held = zclass.score(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id")
-    assert held.agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("double"))).first()[0] > 0.85
+    good, bad = (held.filter(f"quality = {q}").agg(F.avg(F.col("keep").cast("double"))).first()[0] for q in (1, 0))
+    assert good > 0.95 and bad < 0.15
     rows = zclass.score(odd, model).collect()
     assert len(rows) == len(ODD) and all(r.score is None and not r.keep for r in rows if r.doc_id in (2, 3))
     assert zclass.keep(odd, model).columns == odd.columns and zclass.score(none, model).count() == 0
@@ -352,6 +353,43 @@ def test_classifier_on_held_out_rows(spark, odd, none):
     assert {(r.score, r.keep) for r in zclass.score(odd, None).collect()} == {(None, True)}
 
 
+def test_measure_equals_compressing_each_piece_alone():
+    zstandard = pytest.importorskip("zstandard")
+    rng = random.Random(6)
+    words = [["house", "street", "river", "people", "walk"], ["win", "pills", "cheap", "click"]]
+    rows = [(" ".join(rng.choices(words[1 - q], k=40)), q) for q in (0, 1) for _ in range(20)]
+    model = zclass.train(rows)
+    for text in ["house by the river", "cheap pills " * 300, "é中\U0001f600" * 100, "x", "\ud800 lone"]:
+        raw = text.encode("utf-8", "surrogatepass")
+        size = [0, 0]
+        for k, own in enumerate((model.good, model.bad)):
+            for at in range(0, len(raw), zclass.PIECE):
+                c = zstandard.ZstdCompressor(level=zclass.LEVEL, dict_data=zstandard.ZstdCompressionDict(own), write_content_size=False, write_checksum=False, write_dict_id=False)
+                size[k] += len(c.compress(raw[at : at + zclass.PIECE]))
+        assert zclass.measure(text, model.compressors()) == (size[1] - size[0]) / (size[1] + size[0])
+
+
+def test_calibration_is_the_most_likely_curve():
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.8).astype(float)
+    x = rng.normal(size=400) * 0.1 + 0.1 * y
+    slope, offset = zclass.calibrate(x, y)
+    each, scale = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), x.std()
+
+    def loss(a, b):
+        return (each * np.logaddexp(0, -(2 * y - 1) * (a / scale * x + b))).sum() + 0.005 * (a * a + b * b)
+
+    best = loss(slope * scale, offset)
+    assert all(loss(slope * scale + da, offset + db) >= best for da in (-0.02, 0, 0.02) for db in (-0.02, 0, 0.02))
+
+
+def test_scores_at_the_limit_are_kept(spark):
+    model = zclass.Model(b"good words here and there", b"bad words of this kind", 0.0, 0.0)
+    docs = spark.createDataFrame([(1, "some text"), (1, "some text"), (2, "other"), (3, ""), (4, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.score, r.keep) for r in zclass.score(docs, model).orderBy("doc_id").collect()] == [(1, 0.5, True), (1, 0.5, True), (2, 0.5, True), (3, None, False), (4, None, False)]
+    assert zclass.keep(docs, model).count() == 3
+
+
 @pytest.mark.parametrize("bad", [["buy cheap pills now click here win money fast " * 3], ["click win buy pills " * 2000] * 40 + ["short"], ["x"]])
 def test_classifier_learns_from_few_and_odd_rows(spark, bad):
     words = "the house and dog of a street in town near old river with many trees people walk there every day".split()
