@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.llm import bpe, hostrules, langid, packing, pii, reshard, secrets, simhash, topk, zclass
+from voltloom.llm import _shared, bpe, hostrules, langid, packing, pii, reshard, secrets, simhash, topk, zclass
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, a int, b int, n int, host string, rank int, text_ string, voltloom_rules string, voltloom_id int"
 LONG = "The quick brown fox and the lazy dog of the house. " * 4000
@@ -67,7 +67,48 @@ def test_langid_on_held_out_rows(spark, small, odd, none):
     assert all(r.lang_pred is None and r.runs == [] for (i, _), r in rows.items() if i in (2, 3, 4))
     assert sum(x.n for (i, _), r in rows.items() if i == 6 for x in r.runs) == len(langid.words_of(LONG))
     assert langid.label(none, crf).count() == 0 and langid.train(langid.sample(none)) is None
-    assert {r.lang_pred for r in langid.label(odd, None).collect()} == {None}
+    assert {(r.lang_pred, r.n_words, r.runs) for r in langid.label(odd, None).collect()} == {(None, None, None)}
+
+
+def test_langid_labels_words_of_code_switched_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    crf = langid.train(langid.sample(docs.filter("doc_id % 2 = 0")))
+    held = {}
+    for r in docs.filter("doc_id % 2 = 1 and n_chars > 200").select("lang", "text").collect():
+        held.setdefault(r.lang, []).append(langid.words_of(r.text))
+    rng = random.Random(12)
+    rows, gold = [], []
+    for k in range(120):
+        words, langs = [], []
+        for _ in range(rng.randrange(2, 7)):
+            lang = rng.choice(sorted(held))
+            own = rng.choice(held[lang])
+            a = rng.randrange(len(own))
+            own = own[a : a + rng.randrange(5, 25)]
+            words += own
+            langs += [lang] * len(own)
+        rows.append((k, " ".join(words)))
+        gold.append(langs)
+    out = langid.label(spark.createDataFrame(rows, "doc_id long, text string"), crf).orderBy("doc_id").collect()
+    got = [[x.lang for x in r.runs for _ in range(x.n)] for r in out]
+    assert [len(g) for g in got] == [len(g) for g in gold]
+    right = np.mean([a == b for g, h in zip(got, gold) for a, b in zip(g, h)])
+    assert right > 0.93
+
+
+def test_langid_training_raises_the_likelihood_of_its_sequences():
+    rows = [("the house and the dog of this street " * 5, "en"), ("a river with that old tree " * 5, "en"), ("das haus und der hund " * 5, "de"), ("ein fluss mit dem alten baum " * 5, "de")]
+    few, many = (langid.train(rows, steps=n) for n in (1, 60))
+    assert few.lexicons == [{"ein", "fluss", "mit", "dem", "alten", "baum"}, {"a", "river", "with", "that", "old", "tree"}]
+    words, gold = ["the", "house", "und", "der", "hund"], [1, 1, 0, 0, 0]
+
+    def likelihood(crf):
+        e = crf.scores(words).astype(float)
+        path = lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(crf.trans[a, b] for a, b in zip(y, y[1:]))
+        return path(gold) - np.log(sum(np.exp(path(y)) for y in itertools.product(range(2), repeat=len(words))))
+
+    assert likelihood(many) > likelihood(few) and likelihood(many) > np.log(0.8)
+    assert langid.train([("one tie", "b"), ("one tie", "a")]).labels == ["a", "b"]
 
 
 def test_langid_learns_every_language_of_skewed_tables(spark):
@@ -209,6 +250,18 @@ def test_host_rules(spark, odd, none, most, monkeypatch):
     assert hostrules.keep(odd).columns == odd.columns and hostrules.verdicts(none).count() == 0 and hostrules.keep(none).count() == 0
 
 
+def test_hosts_at_the_limit_stay(spark):
+    docs = frame(spark, [(i, "words of a text" if i % 2 else "", "even") for i in range(8)])
+    rows = hostrules.verdicts(docs).collect()
+    assert {(r.host_rate, r.host_rejected) for r in rows} == {(0.5, False)} and hostrules.keep(docs).count() == 4
+
+
+def test_languages_that_tie_go_to_the_first(spark):
+    crf = langid.Crf(["de", "en"], np.zeros((langid.BUCKETS + 3, 2), np.float32), np.zeros((2, 2)), [set(), set()])
+    out = langid.label(spark.createDataFrame([(1, "some words"), (1, "some words"), (2, None)], "doc_id long, text string"), crf).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.confidence, r.n_words) for r in out] == [("de", 0.5, 2), ("de", 0.5, 2), (None, None, 0)]
+
+
 @pytest.mark.parametrize(
     ("text", "found"),
     [
@@ -260,10 +313,56 @@ def test_secrets_of_weak_and_dashed_names(name):
     assert secrets.clean(f"run {name}={literal} now") == f"run {name}={secrets.MARK} now"
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('secret.a.b.c.d = "3f9a1c7e5b2d8064af19c3e7"', ["3f9a1c7e5b2d8064af19c3e7"]),
+        ("password: Annotated[Optional[dict], a.very.long.module.name.Of.Some.Type] = 'hJ8#kd92LmQ1x'", ["hJ8#kd92LmQ1x"]),
+        ('password = "hJ8#kd92LmQ1x" + "Zx8"', ["hJ8#kd92LmQ1x", "Zx8"]),
+        ('a = "q"\npassword = "" + a + "hJ8#kd92LmQ1x"', ["q", "hJ8#kd92LmQ1x"]),
+        ('password = os.getenv(' + " " * 90 + '"APP_DB_PASSWORD", "hJ8#kd92LmQ1x")', ["hJ8#kd92LmQ1x"]),
+    ],
+)
+def test_secrets_have_no_caps(text, found):
+    assert [text[a:b] for _, a, b, _ in secrets.scan(text)] == found
+    assert not any(f in secrets.clean(text).replace("password", "") for f in found if f not in ("q",))
+
+
+def test_secrets_of_made_up_programs():
+    """Planted pairs in many syntaxes, among lines that hold none: just the planted literals are found."""
+    rng = random.Random(21)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    names = ["password", "api_key", "clientSecret", "AUTH_TOKEN", "db.password", "aws-secret-key", "private_key", "user.credentials.passwd"]
+    calm = ["colour", "title", "password_hint", "max_tokens", "token_count", "path", "host.name"]
+    shapes = ["{n} = \"{v}\"", "{n}: '{v}'", '{{"{n}": "{v}"}}', "export {n}={v}", "{n} := `{v}`", "<{n}>{v}</{n}>", '{n} = decode("{v}", "hex")', "--{n}={v}", '{n} => "{v}",']
+    for _ in range(60):
+        lines, want = [], []
+        for _ in range(rng.randrange(3, 12)):
+            value = "".join(rng.choice(letters) for _ in range(rng.randrange(16, 40))) + "7Qx"
+            kind = rng.random()
+            if kind < 0.4:
+                lines.append(rng.choice(shapes).format(n=rng.choice(names), v=value))
+                want.append(value)
+            elif kind < 0.5:
+                k = rng.randrange(4, len(value) - 4)
+                v = f"part{len(lines)}"
+                lines += [f'{v} = "{value[:k]}"', f'{rng.choice(names)} = {v} + "{value[k:]}"']
+                want += [value[:k], value[k:]]
+            elif kind < 0.75:
+                lines.append(rng.choice(shapes).format(n=rng.choice(calm), v=value))
+            else:
+                lines.append(rng.choice(["the secret is in the garden", "password = changeme", "if token == other:", "call me at 10:30 today", "token = None"]))
+        text = "\n".join(lines) + "\n"
+        assert sorted(text[a:b] for _, a, b, _ in secrets.scan(text)) == sorted(want), text
+        assert not any(w in secrets.clean(text) for w in want)
+
+
 def test_unclosed_calls_take_linear_time():
     began = time.process_time()
     secrets.scan("a = f(" * 30_000)
     secrets.scan('a = f("x' * 30_000)
+    secrets.scan("note: a b c " * 60_000)
+    secrets.scan("note: " + "word " * 100_000)
     assert time.process_time() - began < 10
 
 
@@ -421,6 +520,48 @@ def test_pii(spark, odd, none):
     assert out.filter("doc_id = 9").first().text == "mail to [EMAIL] today" and out.count() == len(ODD) + 1 and out.columns == odd.columns
 
 
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(2)
+    t, lens = rng.normal(size=(3, 3)), np.array([1, 4, 2, 3])
+    e = rng.normal(size=(10, 3))
+    e[5:7] = 0  # of these two, and where transitions are equal too, ties go to the first label
+    for trans in (t, np.zeros((3, 3))):
+        for left, right in itertools.product((False, True), repeat=2):
+            got, at = pii.viterbi(e, lens, trans, np.full(4, left), np.full(4, right)), 0
+            for n in lens:
+                paths = list(itertools.product(range(3), repeat=int(n)))
+                score = [sum(e[at + i, y] for i, y in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:])) + left * trans[0, p[0]] + right * trans[p[-1], 0] for p in paths]
+                own = tuple(got[at : at + n].tolist())
+                assert score[paths.index(own)] == pytest.approx(max(score))
+                if at == 5 and not trans.any():
+                    assert own == (0, 0)
+                at += n
+
+
+def test_pii_training_rows_are_not_those_of_the_tables(spark):
+    texts = "\n".join(r.text or "" for s in ("0.001", "0.01") for r in spark.read.parquet(f"/root/testdata/sf{s}/documents.parquet").select("text").collect())
+    assert not [x for x in [x for _, x in pii.LABELLED] + [x for x in pii.ORDINARY if len(x) > 16] if x in texts]
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("a" * 70 + ".b@mail.example.com", "EMAIL"),
+        ("x" + "a1" * 40 + "@mail.example.com", "EMAIL"),
+        ("first.of.many.dotted.parts.in.a.name@sub.of.some.host.example.org", "EMAIL"),
+        ("ip=192.168.7.25;", "IP"),
+        ("tel:+14155552671", "PHONE"),
+        ("a" * 5000 + "@mail.example.com", "EMAIL"),
+        ("0123456789abcdef" * 40, None),
+        ("9f8" * 400, None),
+        ("1.2.3.4.5.6.7.8", None),
+    ],
+)
+def test_pii_in_words_of_any_length(text, found):
+    got = [k for _, k, _, _ in pii.Tagger(pii.train()).spans([f"see {text} there"])]
+    assert got == ([found] if found else [])
+
+
 PAD = "a" * 30 + "-" + "b" * 40
 JOINED = [
     ('{"note":"' + PAD + '","email":"kim.42@mail7.example.com","tel":"415-555-2671","card":"4785380592391139"}', ["kim.42@mail7.example.com", "415-555-2671", "4785380592391139"]),
@@ -498,6 +639,74 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.lengths(none)).count() == 0
 
 
+def test_packing_of_many_rows_without_id(spark):
+    df = spark.createDataFrame([(None, 30)] * 700 + [(i, 30) for i in range(50)] + [(None, 300)] * 3, "doc_id long, n long")
+    rows = packing.pack(df, window=128, unit=8, group_rows=100).collect()
+    assert len(rows) == 700 + 50 + 9 and sum(r.n_tokens for r in rows) == 750 * 30 + 900
+    assert sum(r.doc_id is None for r in rows) == 709 and len({(r.window_id, r.start) for r in rows}) == len(rows)
+    places = {(r.doc_id, r.window_id, r.start) for r in rows if r.doc_id is not None}
+    again = packing.pack(df.repartition(3), window=128, unit=8, group_rows=100).collect()
+    assert places == {(r.doc_id, r.window_id, r.start) for r in again if r.doc_id is not None}
+
+
+def test_token_lengths_hold_in_windows(spark, odd):
+    n = {r.doc_id: r.n for r in packing.token_lengths(odd).collect()}
+    assert set(n) == {1, 4, None, 5, 6, 7} and n[6] == {r.doc_id: r.n_tokens for r in bpe.encode(odd).collect()}[6] + 1
+
+
+def test_pieces_match_as_the_whole():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", " ", "  ", "\n", "é", "中", "'s", "12", "@x.y", "-", ", "]) for _ in range(rng.randrange(120)))
+        parts = list(_shared.pieces(text, 17))
+        assert "".join(parts) == text
+        for find in (bpe.encoder().find, langid.words_of, str.split):
+            assert [w for p in parts for w in find(p)] == list(find(text))
+
+
+def test_very_long_texts(spark):
+    """A text of several pieces and slices is labelled, encoded, searched and packed as a whole."""
+    text = "the house of the dog and a cat, " * 110_000 + "mail kim.42@mail7.example.com " + SECRET  # 3.5 million characters
+    docs = frame(spark, [(1, text, "s"), (2, "x" * 1_200_000, "s"), (3, text, "t")])
+    n = {r.doc_id: r for r in bpe.encode(docs).collect()}
+    assert all(r.round_trip for r in n.values()) and n[1].n_tokens == n[3].n_tokens
+    crf = langid.train([("the house and the dog " * 20, "en"), ("das haus und der hund " * 20, "de")])
+    words = {r.doc_id: r.n_words for r in langid.label(docs, crf).collect()}
+    assert words == {1: len(langid.words_of(text)), 2: 1, 3: len(langid.words_of(text))}
+    assert [(r.doc_id, r.kind) for r in pii.findings(docs).orderBy("doc_id").collect()] == [(1, "EMAIL"), (3, "EMAIL")]
+    assert [(r.doc_id, text[r.start_at : r.end_at]) for r in secrets.findings(docs).orderBy("doc_id").collect()] == [(1, "hJ8#kd92LmQ1x"), (3, "hJ8#kd92LmQ1x")]
+    assert [(r.doc_id, r.group_size) for r in simhash.groups(docs).orderBy("doc_id").collect()] == [(1, 2), (3, 2)]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://there:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():
+            return Context
+
+        @staticmethod
+        def isDefined():
+            return False
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _shared.shared_dir(Session)
+
+
 def test_nnls_is_no_worse_than_projected_gradient():
     rng = np.random.default_rng(0)
     a, b = rng.random((12, 20)), rng.random(12)

@@ -19,11 +19,13 @@ CACHE_WORDS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or where unset one of our own, if one machine runs all (as in tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
         found = sc._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("a cluster needs a folder that all executors share: set spark.checkpoint.dir")
         path = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="voltloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
@@ -36,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -84,7 +92,7 @@ _CUT = re.compile(r"\S (?=\S)")
 
 
 class WordIds(dict):
-    """Numbers words; what is new since the last flush is in `fresh`. Keeps its first `most` words for good."""
+    """Numbers words; what is new since the last flush is in `fresh`. Keeps the first `most` that it meets for good, frequent or not."""
 
     def __init__(self, most: int = CACHE_WORDS) -> None:
         super().__init__()

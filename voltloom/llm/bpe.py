@@ -185,7 +185,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes batches; remembers what frequent pretokens become."""
+    """Encodes batches; remembers what the first CACHE_WORDS different pretokens become."""
 
     def __init__(self, path: str = VOCABULARY, pattern: str = PATTERN) -> None:
         self.v, self.find, self.words = Vocabulary(path), regex.compile(pattern).findall, WordIds()

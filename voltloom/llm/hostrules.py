@@ -8,7 +8,7 @@ A document fails a rule when
 A host is `source`; documents without one are one host. Its failure rate (documents failing any rule) is
 shrunk by a beta prior fitted to all hosts' rates by the method of moments: with mean m and variance v of
 the rates, strength s = m (1 - m) / v - 1, held to 1..1000 (1000 where v is 0), rate = (failed + s m) / (n + s).
-A host is rejected if its shrunk rate is over HOST_LIMIT; a document is kept if it passes all rules and
+A host is rejected if its shrunk rate is over HOST_LIMIT (one equal to it stays); a document is kept if it passes all rules and
 its host is not rejected.
 
 Defined results: every row gets a verdict, repeated rows each; an empty table gives an empty result.

@@ -1,18 +1,20 @@
 """Language identification of words in code-switched text by a linear-chain conditional random field.
 
-Features of a word: hashed affixes and character n-grams (those of ^word$ of length 2 to 4) and the
-word itself as its lexicon entry. The weight of a label at a word is the sum of its features' weights;
+Features of a word: its hashed affixes and character n-grams (those of ^word$ of length 2 to 4), its hashed whole, and
+the lexicon's: one for each language whose lexicon has it, one for a word that no lexicon has. The lexicons are the words
+of every other training text; sequences to train on come from the rest, so that lexicon features are learned on words that
+may be missing there. The weight of a label at a word is the sum of its features' weights;
 transitions between labels are learned. Training maximises the likelihood of sequences in which runs
 of words from documents of different languages alternate. Labels come from forward-backward: every word
 gets the label of greatest posterior probability, over whole documents.
 
 Training reads TRAIN_DOCS documents, shared equally among the table's languages, LEAST_DOCS of a language at least:
-different texts, copies count once, those of 50 to TRAIN_CHARS characters first, of longer ones the first TRAIN_CHARS.
+different texts, copies count once, those of LEAST_CHARS to TRAIN_CHARS characters first, of longer ones the first TRAIN_CHARS.
 So every language that any text with a letter has is a label, however rare it is.
 
 Defined results: a null, empty or wordless text has no words: null language and confidence, no runs.
 Rows are labelled each on its own, repeated ones too. With no labelled rows to learn from (an empty
-table, or no language given) every language is null. Ties go to the alphabetically first language.
+table, or no language given) languages, counts and runs are null. Ties go to the alphabetically first language.
 Other columns, whatever their names, are left out. Texts of any length are labelled whole.
 """
 
@@ -31,40 +33,48 @@ from voltloom.llm._shared import WordIds, documents, grams, only, pieces, slices
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled documents that training reads of all languages, how many characters of each, and documents of a language at least.
-TRAIN_DOCS, TRAIN_CHARS, LEAST_DOCS = 600, 20_000, 10
+#: Labelled documents that training reads of all languages and of each at least, and how many characters they should have.
+TRAIN_DOCS, LEAST_DOCS, LEAST_CHARS, TRAIN_CHARS = 600, 10, 50, 20_000
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def entries(words: list[str], lexicons: list[set[str]]) -> np.ndarray:
+    """(word, language or none): whether the language's lexicon, or at last none, has the word."""
+    there = np.array([[w in x for x in lexicons] for w in words], bool).reshape(len(words), len(lexicons))
+    return np.concatenate([there, ~there.any(1, keepdims=True)], 1).astype(np.float32)
+
+
 class Crf:
-    """labels, feature weights (BUCKETS, labels), transitions (from, to)."""
+    """labels, feature weights (BUCKETS, then languages' lexicons and none; labels), transitions (from, to), lexicons."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray) -> None:
-        self.labels, self.weights, self.trans = labels, weights, trans
+    def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, lexicons: list[set[str]]) -> None:
+        self.labels, self.weights, self.trans, self.lexicons = labels, weights, trans, lexicons
 
     def scores(self, words: list[str]) -> np.ndarray:
         f, n = grams(words, SIZES, BUCKETS)
         if not len(n):
             return np.zeros((0, len(self.labels)), np.float32)
-        return np.add.reduceat(self.weights[f], np.cumsum(n) - n, axis=0)
+        return np.add.reduceat(self.weights[f], np.cumsum(n) - n, axis=0) + entries(words, self.lexicons) @ self.weights[BUCKETS:]
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = 60, length: int = 32, sequences: int = 1500) -> Crf | None:
     """rows: (text, language). Sequences of `length` words switch language after runs of 3 to 20 words."""
     rng = np.random.default_rng(seed)
-    by: dict[str, list[str]] = {}
+    texts: dict[str, list[list[str]]] = {}
     for text, lang in rows:
-        by.setdefault(lang, []).extend(words_of(text))
-    by = {k: v for k, v in sorted(by.items()) if v}
-    if not by:
+        if own := words_of(text):
+            texts.setdefault(lang, []).append(own)
+    if not texts:
         return None
-    labels = list(by)
+    labels = sorted(texts)
     k = len(labels)
+    lexicons = [{w for own in texts[lang][1::2] for w in own} for lang in labels]
+    by = {lang: [w for own in texts[lang][::2] for w in own] for lang in labels}
     if k == 1:
-        return Crf(labels, np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)))
+        return Crf(labels, np.zeros((BUCKETS + 2, 1), np.float32), np.zeros((1, 1)), lexicons)
     seq, gold = [], np.empty((sequences, length), np.int64)
     at = 0
     for s in range(sequences):
@@ -81,15 +91,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = 60, length: i
     vocab = {w: n for n, w in enumerate(dict.fromkeys(seq))}
     x = np.array([vocab[w] for w in seq]).reshape(sequences, length)
     f, n = grams(list(vocab), SIZES, BUCKETS)
+    listed = entries(list(vocab), lexicons)
     begin = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(vocab)), n)
     order = np.argsort(f, kind="stable")
     used, first = np.unique(f[order], return_index=True)
-    w, t = np.zeros((len(used), k)), np.zeros((k, k))
+    w, t, lex = np.zeros((len(used), k)), np.zeros((k, k)), np.zeros((k + 1, k))
     local = np.searchsorted(used, f)
-    m = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
+    m = [np.zeros_like(x) for x in (w, w, t, t, lex, lex)]
     for step in range(1, steps + 1):
-        e = np.add.reduceat(w[local], begin, axis=0)[x]
+        e = (np.add.reduceat(w[local], begin, axis=0) + listed @ lex)[x]
         post, pair = marginals(e, t)
         post[np.arange(sequences)[:, None], np.arange(length), gold] -= 1
         gold_pairs = np.zeros((k, k))
@@ -99,15 +110,17 @@ def train(rows: list[tuple[str, str]], seed: int = 7, steps: int = 60, length: i
             per_word[:, j] = np.bincount(x.ravel(), post[:, :, j].ravel(), len(vocab))
         gw = np.add.reduceat(per_word[owner[order]], first, axis=0) / sequences + 1e-4 * w
         gt = (pair - gold_pairs) / sequences + 1e-4 * t
-        for p, g, a, b, rate in ((w, gw, m[0], m[1], 0.15), (t, gt, m[2], m[3], 0.1)):
+        gl = listed.T @ per_word / sequences + 1e-4 * lex
+        for p, g, a, b, rate in ((w, gw, m[0], m[1], 0.15), (t, gt, m[2], m[3], 0.1), (lex, gl, m[4], m[5], 0.15)):
             a *= 0.9
             a += 0.1 * g
             b *= 0.99
             b += 0.01 * g * g
             p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros((BUCKETS, k), np.float32)
+    weights = np.zeros((BUCKETS + k + 1, k), np.float32)
     weights[used] = w
-    return Crf(labels, weights, t)
+    weights[BUCKETS:] = lex
+    return Crf(labels, weights, t, lexicons)
 
 
 def marginals(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,24 +197,24 @@ def sample(docs: DataFrame, lang_col: str = "lang", most: int = TRAIN_DOCS, char
         return []
     quota = max(LEAST_DOCS, most // n)
     rows = docs.select(F.col("text").alias("t"), lang).filter("t is not null and l is not null").withColumn("h", F.xxhash64("t"))
-    slim = rows.filter(F.col("t").rlike(r"\p{L}")).select("l", "h", F.expr(f"length(t) not between 50 and {chars}").alias("odd")).distinct()
+    slim = rows.filter(F.col("t").rlike(r"\p{L}")).select("l", "h", F.expr(f"length(t) not between {LEAST_CHARS} and {chars}").alias("odd")).distinct()
     ranked = slim.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("odd", "h"))).filter(F.col("r") <= quota)
     found = rows.join(F.broadcast(ranked.select("l", "h")), ["l", "h"]).groupBy("l", "h").agg(F.substring(F.min("t"), 1, chars).alias("t")).collect()  # quota rows a language
     return [(r.t, r.l) for r in sorted(found, key=lambda r: (r.l, r.h))]
 
 
 def label(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, confidence, n_words, n_switches, shares, runs): every word's label, as runs of equal labels."""
+    """(doc_id, lang_pred, confidence, n_words, n_switches, runs): every word's label, as runs of equal labels."""
     source = only(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang_pred string, confidence double, n_words long, n_switches long, runs array<struct<lang:string,n:int>>"
     if crf is None:
-        return source.selectExpr("doc_id", "cast(null as string) lang_pred", "cast(null as double) confidence", "0L n_words", "0L n_switches", "cast(array() as array<struct<lang:string,n:int>>) runs")
-    memo = source.sparkSession.sparkContext.broadcast((crf.labels, crf.weights.astype(np.float16), crf.trans))
+        return source.selectExpr("doc_id", "cast(null as string) lang_pred", "cast(null as double) confidence", "cast(null as long) n_words", "cast(null as long) n_switches", "cast(null as array<struct<lang:string,n:int>>) runs")
+    memo = source.sparkSession.sparkContext.broadcast((crf.labels, crf.weights.astype(np.float16), crf.trans, crf.lexicons))  # of the size of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, weights, trans = memo.value
-        model = Crf(labels, weights.astype(np.float32), trans)
+        labels, weights, trans, lexicons = memo.value
+        model = Crf(labels, weights.astype(np.float32), trans, lexicons)
         names, k = pa.array(labels), len(labels)
         ids, table = WordIds(), np.zeros((0, k), np.float32)
         for whole in batches:

@@ -5,10 +5,12 @@ window exactly are enumerated; non-negative least squares finds how often to rep
 use up the histogram of lengths, each length's error weighted by the length, as long pieces are the hardest to place. Repeats are rounded down (and never use more than there is); what remains is
 packed greedily, longest first, each window filled with the longest lengths that still fit. All this works on the
 histogram, whose size depends on the window only. Documents are then given their places by their rank among those
-of equal length: ranks are counted in groups of (length, salt), with as many salts as the data need.
+of equal length: ranks are counted in groups of (length, salt), with as many salts as the data need. Pieces of rows
+without doc_id can't be told apart, so they are counted, not ranked.
 
 A document of n words has n + 1 tokens (its words and an end mark); one longer than the window is cut into
-full windows and a rest, nothing is dropped. Places of a window start at multiples of BIN.
+full windows and a rest, nothing is dropped. Places of a window start at multiples of BIN. `token_lengths` counts the
+tokens of a byte-level vocabulary instead, for windows that must hold those.
 
 Defined results: null, empty and blank texts have no piece. Rows are packed each on its own, repeated ones and
 those without doc_id too. Order within equal lengths follows doc_id (nulls first), then piece; rows equal in both
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltloom.llm import bpe
 from voltloom.llm._shared import cut, documents
 
 WINDOW, BIN, DEPTH = 2048, 16, 3
@@ -51,14 +54,19 @@ def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
-    """Lawson and Hanson's active set method: x >= 0 that makes |a x - b| least."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lawson and Hanson's active set method: x >= 0 that makes |a x - b| least.
+
+    It ends as each step lessens the error and no set of free columns comes twice; a column that rounding keeps from
+    lessening it has to wait until another one did.
+    """
     n = a.shape[1]
     ata, atb = a.T @ a, a.T @ b
     x, free = np.zeros(n), np.zeros(n, bool)
     slack = atb.copy()
-    for _ in range(most):
-        slack[free] = -np.inf
+    error, wait = np.inf, np.zeros(n, bool)
+    while True:
+        slack[free | wait] = -np.inf
         k = int(slack.argmax())
         if slack[k] <= 1e-9 * max(1.0, np.abs(atb).max()):
             break
@@ -81,6 +89,11 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
             x[gone] = 0
             free[gone] = False
         slack = atb - ata @ x
+        now = x @ (ata @ x) / 2 - atb @ x
+        if now < error:
+            error, wait = now, np.zeros(n, bool)
+        else:
+            wait[k] = True
     return x
 
 
@@ -148,6 +161,11 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), (n + 1).cast("long").alias("n")).filter("n > 1")
 
 
+def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, n): byte-level BPE tokens and an end mark, of every text that has any."""
+    return bpe.encode(docs, vocabulary, id_col=id_col, text_col=text_col).select("doc_id", (F.col("n_tokens") + 1).alias("n")).filter("n > 1")
+
+
 def pack(sizes: DataFrame, window: int = WINDOW, unit: int = BIN, depth: int = DEPTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, window_id, start) of every piece of (doc_id, n)."""
     units = window // unit
@@ -158,11 +176,19 @@ def pack(sizes: DataFrame, window: int = WINDOW, unit: int = BIN, depth: int = D
     histogram = np.array([counted.get(u, 0) for u in range(units + 1)], np.int64)
     plan = places(patterns(histogram, depth), units)
     salts = int(max(1, histogram.max() // group_rows))
-    salted = cutup.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(salts)))
+    alike = cutup.filter("doc_id is null").groupBy("u", "piece", "size").agg(F.count("*").alias("c"))
+    skip = alike.groupBy("u").agg(F.sum("c").alias("skip"))
+    alike = alike.withColumn("first", F.sum("c").over(Window.partitionBy("u").orderBy("piece", "size")) - F.col("c"))
+    for step in (group_rows, 1):  # ranks of a group from runs of them, so that no row holds all
+        last = F.least(F.col("c"), F.lit(group_rows)) if step == 1 else F.col("c")
+        alike = alike.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), last - 1, F.lit(step).cast("long")))).withColumns({"first": F.col("first") + F.col("at"), "c": F.col("c") - F.col("at")})
+    alike = alike.select(F.lit(None).cast(sizes.schema["doc_id"].dataType).alias("doc_id"), "piece", "size", "u", F.col("first").alias("rank"))
+    salted = cutup.filter("doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(salts)))
     group = salted.groupBy("u", "salt").agg(F.count("*").alias("c"))
-    before = group.select("u", "salt", (F.sum("c").over(Window.partitionBy("u").orderBy("salt")) - F.col("c")).alias("before"))
+    before = group.withColumn("before", F.sum("c").over(Window.partitionBy("u").orderBy("salt")) - F.col("c"))
+    before = before.join(skip, "u", "left").select("u", "salt", (F.col("before") + F.coalesce("skip", F.lit(0))).alias("before"))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("u", "salt").orderBy("doc_id", "piece", "size"))).join(before, ["u", "salt"])
-    ranked = ranked.select("doc_id", "piece", "size", "u", (F.col("before") + F.col("r") - 1).alias("rank"))
+    ranked = ranked.select("doc_id", "piece", "size", "u", (F.col("before") + F.col("r") - 1).alias("rank")).unionByName(alike)
     memo = sizes.sparkSession.sparkContext.broadcast(plan)  # of the size of the histogram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,10 +5,11 @@ colons) is split at the punctuation and the unspaced scripts (Chinese, Japanese,
 JSON, CSV, URLs and logs; each part is a word then, and findings don't reach across parts. Whole stay thousands,
 dates, times and colon addresses. In parts of over LONG_PART characters, digits joined to letters by a hyphen, point,
 underscore or plus part from them. A word's features are its shape (letters x and X, digits d,
-runs collapsed), its shape with the lengths of digit runs, its number of digits and its kinds of characters; those
-of the words before and after it count too. Labels are O and, for each kind, B (first word) and I (further words).
-The model is trained from LABELLED, a small table of marked examples whose digits and letters are drawn afresh,
-among ordinary words and numbers. Decoding is Viterbi, in numpy batches.
+runs collapsed), its shape with the lengths of digit runs, its number of digits, its kinds of characters, and the gist of
+its shape, in which letters and digits that alternate are one m and what repeats stands once, so that words of any length
+have known features; those of the words before and after it count too. Labels are O and, for each kind, B (first word) and I (further words).
+The model is trained from LABELLED, a small table of made-up examples (none occurs in the test tables) whose digits
+and letters are drawn afresh, among ordinary words and numbers. Decoding is Viterbi, in numpy batches.
 
 Most words need no search: where a word's score for O exceeds every other label's, whatever its neighbours, by more
 than any transitions can give back, the best path has O there. That cuts a text exactly into short stretches; the
@@ -33,16 +34,16 @@ from voltloom.llm.langid import marginals
 
 #: kind and example; digits and letters stand for any digits and letters of their case.
 LABELLED = [
-    *[("EMAIL", x) for x in ("ann.lee@mail.example.com", "bob@corp.example.org", "kim.42@mail7.example.com", "j_doe-9@uni.example.edu", "sales+eu@shop.example.co.uk", "x1y2@host3.net", "María.Pérez@correo.example.es", "that.92@mail2.example.com", "éa.05@mail1.example.com", "USER@EXAMPLE.COM")],
-    *[("PHONE", x) for x in ("+1 (212) 555-0142", "+1 (310) 555-4510", "(415) 555-2671", "415-555-2671", "415.555.2671", "+1-415-555-2671", "+14155552671", "+44 20 7946 0958", "+49 30 9018 2034", "+33 1 42 68 53 00", "+34 912 345 678", "4155552671", "+1 415 555 2671", "555-2671")],
-    *[("CARD", x) for x in ("4785380592391139", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "6011000990139424", "4532 7153 3790 1241", "4222222222222")],
-    *[("IP", x) for x in ("152.143.123.131", "10.0.0.7", "192.168.1.254", "8.196.197.208", "70.23.22.57", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a")],
+    *[("EMAIL", x) for x in ("ann.lee@mail.example.com", "bob@corp.example.org", "kim.42@mail7.example.com", "j_doe-9@uni.example.edu", "sales+eu@shop.example.co.uk", "x1y2@host3.net", "María.Pérez@correo.example.es", "ro.71@post3.example.com", "øy.08@post1.example.com", "USER@EXAMPLE.COM")],
+    *[("PHONE", x) for x in ("+1 (212) 555-0142", "+1 (646) 555-0187", "(415) 555-2671", "415-555-2671", "415.555.2671", "+1-415-555-2671", "+14155552671", "+44 20 7946 0958", "+49 30 9018 2034", "+33 1 42 68 53 00", "+34 912 345 678", "4155552671", "+1 415 555 2671", "555-2671")],
+    *[("CARD", x) for x in ("4556737586899855", "4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005", "6011000990139424", "4532 7153 3790 1241", "4222222222222")],
+    *[("IP", x) for x in ("172.31.40.9", "10.0.0.7", "192.168.1.254", "9.120.44.203", "81.40.17.6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1ff:fe23:4567:890a")],
     *[("SSN", x) for x in ("078-05-1120", "219-09-9999", "457-55-5462")],
     *[("IBAN", x) for x in ("DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606", "ES91 2100 0418 4502 0005 1332")],
 ]
 #: What is no personal data although it has digits or signs.
-ORDINARY = ("2024", "1998", "7", "42", "350", "12,500", "3.14", "99.9%", "$45.00", "€1,200", "10:30", "2024-05-17", "17/05/2024", "05.11.2023", "v2.3.1", "2.10.4", "1st", "20th", "B12", "x86", "covid-19", "3x4", "(2019)", "[12]", "#17", "100km", "1/2", "5-6", "1234567", "A4", "10,000,000", "0.5", "1e-3", "chapter-3", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "9A83A8ECF7C5B09FE5949719B6B82BC439E9329B", "DE7D5B09FE5949719B6B82BC439E93290C", "http://example.com/a1", "www.example.org", "item_12", "=", "-", "|", "&", "+", "and/or", "e.g.", "U.S.", "@home", "foo()", "key=value", "12.5", "1.2", "192.5")
-PLAIN = "the of and in is that for it was on are as with be at by this the and der die und von mit la de que el en un le les des est pour Thing Anther Monday HELLO WORLD él año straße où ça état co-op mother-in-law l'eau don't end. stop, why? yes! (see) \"quoted\" 'so' word### thing*** other&&& next%%% last$$$ BIG!! | token name: value;".split()
+ORDINARY = ("2024", "1998", "7", "42", "350", "12,500", "3.14", "99.9%", "$45.00", "€1,200", "10:30", "2024-05-17", "2024-05-17T10:30:00Z", "2024-05-17T10:30", "10:30:45", "17/05/2024", "05.11.2023", "v2.3.1", "2.10.4", "1st", "20th", "B12", "x86", "covid-19", "3x4", "(2019)", "[12]", "#17", "100km", "1/2", "5-6", "1234567", "A4", "10,000,000", "0.5", "1e-3", "chapter-3", "5d41402abc4b2a76b9719d911017c592", "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "AF5570F5A1810B7AF78CAF4BC70A660F0D", "http://example.com/a1", "www.example.org", "item_12", "=", "-", "|", "&", "+", "and/or", "e.g.", "U.S.", "@home", "foo()", "key=value", "12.5", "1.2", "192.5")
+PLAIN = "the of and in is that for it was on are as with be at by this the and der die und von mit la de que el en un le les des est pour Thing Anther Monday HELLO WORLD él año straße où ça état co-op mother-in-law l'eau don't end. stop, why? yes! (see) \"quoted\" 'so' (well), «oui» -- *** what?! end... BIG!! | token name: value;".split()
 KINDS = tuple(dict.fromkeys(k for k, _ in LABELLED))
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 EDGE = ".,;:!?#$%&*|\"'<>[]{}=`~^"
@@ -61,6 +62,8 @@ _PART = re.compile(
 _SEAM = re.compile(r"(?<=[^\W\d])[-_.+]+(?=[\d(])|(?<=\d)[-_.+]+(?=[^\W\d])")
 _LOUD = re.compile(r"@|(?:\d\D*?){4}|:[^:]*:")
 _RUN = re.compile(r"d+|x+|X+")
+_MIXED = re.compile(r"[dxX]*(?:d[xX]|[xX]d)[dxX]*")
+_AGAIN = re.compile(r"(.{1,3}?)\1+")
 
 
 class _Shape(dict):
@@ -90,15 +93,16 @@ def parts(word: str) -> list[tuple[int, str]]:
     return out if len(out) != 1 or len(out[0][1]) < len(core) else []
 
 
-def shapes(word: str) -> tuple[str, str, str, str]:
-    """Collapsed shape, shape with the lengths of digit runs, number of digits, kinds of characters."""
+def shapes(word: str) -> tuple[str, str, str, str, str]:
+    """Collapsed shape, shape with the lengths of digit runs, number of digits, kinds of characters, gist of the shape."""
     core = word.strip(EDGE)
     s = core.translate(_SHAPE)
     short = _RUN.sub(lambda m: m[0][0], s)
     long = _RUN.sub(lambda m: f"d{len(m[0])}" if m[0][0] == "d" else m[0][0], s)
     digits = s.count("d")
     kinds = ("d" * bool(digits)) + ("x" * ("x" in s)) + ("X" * ("X" in s)) + ("@" * ("@" in s)) + ("." * ("." in s)) + (":" * (s.count(":") > 1)) + ("-" * ("-" in s)) + ("+" * s.startswith("+")) + ("(" * s.startswith("("))
-    return short[:24], long[:40], str(min(digits, 20)), kinds + ("=" * (digits == len(s) > 0))
+    gist = _AGAIN.sub(r"\1+", _MIXED.sub("m", short).replace("X", "x").replace("xx", "x"))
+    return short, long, str(digits), kinds + ("=" * (digits == len(s) > 0)), gist
 
 
 def quiet(shape: str) -> bool:
@@ -138,7 +142,7 @@ class Model:
                 own = [get(f"{p}{i}={x}") for p in "C" for i, x in enumerate(s)]
                 v = cache[s] = (sum((w[i] for i in own if i is not None), w[0]), *(sum((w[i] for i in (get(f"{p}0={s[0]}"), get(f"{p}1={s[1]}")) if i is not None), np.zeros(k)) for p in "PN"))
             out[0][n], out[1][n], out[2][n] = v
-            calm[n] = quiet(s[0] if len(s[0]) < 24 else word.translate(_SHAPE))
+            calm[n] = quiet(s[0])
         margin = out[0][:, :1] - out[0] + self.context - self.swing
         return (*out, calm, calm & (margin[:, 1:] > 1e-3).all(1))
 
@@ -156,6 +160,15 @@ def table(seed: int = 11, sequences: int = 1200, length: int = 16) -> tuple[list
     def vary(x: str, hexed: bool = False) -> str:
         return "".join(str(rng.integers(10)) if c.isdigit() else lower[rng.integers(26)] if c in lower and not hexed else upper[rng.integers(26)] if c in upper and not hexed else c for c in x)
 
+    def address() -> str:
+        """An e-mail address of random build: parts of letters, of digits, or of both; half of them of letters only."""
+        made, plain = [], rng.random() < 0.5
+        for marks, most in (("._-+", 8), (".", 6)):
+            kinds = [0 if plain or marks == "." else rng.integers(4) for _ in range(rng.integers(1 + (marks == "."), most))]
+            parts_ = ["".join(str(rng.integers(10)) if k == 1 or (k == 2 and n % 2) else lower[rng.integers(26)] for n in range(rng.integers(1, 13))) for k in kinds]
+            made.append(parts_[0] + "".join(marks[rng.integers(len(marks))] + x for x in parts_[1:]))
+        return "@".join(made)
+
     words, gold = [], np.zeros((sequences, length), np.int64)
     for s in range(sequences):
         own: list[str] = []
@@ -166,17 +179,19 @@ def table(seed: int = 11, sequences: int = 1200, length: int = 16) -> tuple[list
                 kind, x = LABELLED[rng.integers(len(LABELLED))]
                 if kind == "IP" and "." in x:
                     x = ".".join(str(rng.integers(256)) for _ in range(4))
+                elif kind == "EMAIL" and rng.random() < 0.8:
+                    x = address()
                 else:
                     x = vary(x, hexed=kind in ("IP", "IBAN"))
                 got = x.split()
                 if rng.random() < 0.3:
-                    got[-1] += (".", ",", "###", "%%%", "!!", ";")[rng.integers(6)]
+                    got[-1] += (".", ",", "!", "?", ";", ":")[rng.integers(6)]
                 b = LABELS.index(f"B-{kind}")
                 y += [b] + [b + 1] * (len(got) - 1)
                 own += got
             elif r < 0.3:
                 x = ORDINARY[rng.integers(len(ORDINARY))]
-                own.append(vary(x, hexed=len(x) > 20))
+                own.append(vary(x, hexed=len(x) > 20 or x[10:11] == "T"))
                 y.append(0)
             else:
                 own.append(PLAIN[rng.integers(len(PLAIN))])
@@ -200,7 +215,7 @@ def train(seed: int = 11, steps: int = 120) -> Model:
     feats = []
     for w in vocab:
         feats.append([0] + [index.setdefault(f, len(index)) for f in names(w)])
-    own, before, after = (np.array([[f[0], *f[1:5]] for f in feats]), np.array([f[5:7] for f in feats]), np.array([f[7:9] for f in feats]))
+    own, before, after = (np.array([f[:6] for f in feats]), np.array([f[6:8] for f in feats]), np.array([f[8:10] for f in feats]))
     x = np.array([vocab[w] for q in seqs for w in q]).reshape(s, length)
     w, t = np.zeros((len(index), k)), np.zeros((k, k))
     m = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]

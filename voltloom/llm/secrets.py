@@ -36,7 +36,7 @@ MARK = "[SECRET]"
 
 STATEMENT = re.compile(
     r"""(?<![\w$.\-])-*+(?:(?<=-)D(?=[A-Za-z_]))?+(?P<name>[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+)["'`]?\]?
-    (?:[ \t]*:[ \t]*[A-Za-z_][\w\[\]|., ]{0,40}?(?=[ \t]*=[^=]))?
+    (?:[ \t]*:[ \t]*[A-Za-z_][\w\[\]|., ]*+(?=[ \t]*=[^=]))?
     [ \t]*+(?::=|=>|=(?![=~>])|:(?![:/=]))[ \t]*+""",
     re.X,
 )
@@ -75,8 +75,6 @@ def sensitivity(name: str) -> float:
         if CALM & set(words):
             own *= 0.3
         best = max(best, own * (1.0 if back == 0 else 0.55))
-        if back == 2:
-            break
     return best
 
 
@@ -124,7 +122,10 @@ def lex_call(text: str, opening: int, calls: dict[int, Call]) -> Call:
             calls[begin] = at, found, first, len(found)
         elif q := QUOTED.match(text, m.start()):
             at, own = q.end(), (q[q.lastgroup], q.start(q.lastgroup), q.end(q.lastgroup))
-            before = text[max(0, m.start() - 40) : m.start()].rstrip()
+            end = m.start()
+            while end and text[end - 1].isspace():
+                end -= 1
+            before = text[max(0, end - 20) : end]  # longer than any call's name that LOOKUP has
             key = before[-1:] in "{,(" and KEY.match(text, at)
             if not key and not (LOOKUP.search(before) and NAME.fullmatch(own[0])):
                 found.append(own)
@@ -192,7 +193,7 @@ def scan(text: str) -> list[Finding]:
         score = own * plausibility(value)
         if score >= LIMIT:
             for p, a, b in parts:
-                if (len(p) >= 4 or len(parts) == 1) and score > best.get((a, b), (0.0, ""))[0]:
+                if p and score > best.get((a, b), (0.0, ""))[0]:
                     best[a, b] = score, name
 
     def weigh_each(name: str, one: Range) -> None:
