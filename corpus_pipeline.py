@@ -7,7 +7,7 @@ secrets             literals given to sensitive names are masked in the texts th
 packing             every remaining token gets its place in a window: (doc_id, piece, first_token, n_tokens, window_id, start)
 
 A stage's result is written as Parquet to the shared folder and read again as the next one's documents, so a lost
-executor repeats work of one stage only. Nulls, empty tables and other cases: as the operators' docstrings say.
+executor repeats work of one stage only; a stage's folder is deleted when the next one's result is there. Nulls, empty tables and other cases: as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.llm import hostrules, packing, secrets, simhash, zclass
-from voltloom.llm._shared import documents, shared_dir
+from voltloom.llm._shared import documents, drop, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +52,18 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Compression sizes and SimHash votes are beyond SQL; tests compare run() with a brute-force version.
+#: Compression sizes and SimHash votes are beyond SQL; tests compare run() with a version in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:  # nothing reads it any more
+            drop(spark, last)
+        last = at
     return docs
