@@ -66,12 +66,17 @@ def test_numbers(spark):
 
 
 def test_census(spark):
-    assert len(census.FEATURES) >= 46 and len({f.name for f in census.FEATURES}) == len(census.FEATURES)
+    assert len(census.FEATURES) == 47 == len({f.name for f in census.FEATURES})
+    assert len(census.raw_codes(census.FEATURES)) > 120 and {f.category for f in census.FEATURES} == {"economic", "housing", "household", "demographic", "spatial"}
     raw = spark.createDataFrame([("17", "31", "839102", "1", 70.0, 100.0)], "state string, county string, tract string, `block group` string, B25003_002E double, B25003_001E double")
     row = census.build(census.with_geoid(raw), census.FEATURES).first()
-    assert row.GEOID == "170318391021" and row.owner_occupied_pct == 70 and row.median_age is None
+    assert row.GEOID == "170318391021" and row.pct_owner_occupied == 70 and row.median_age is None
     report = {r.metric: r.value for r in census.validate(census.build(census.with_geoid(raw), census.FEATURES)).collect()}
     assert report["rows"] == 1 and report["bad_id_length"] == 0
+    incomes = spark.createDataFrame([("170318391021", "Block Group 1", 75000.0, 250), ("170318391022", "Block Group 2", None, 180)], "GEOID string, NAME string, Median_Household_Income double, Total_Households long")
+    report = {r.metric: r.value for r in census.validate(incomes).collect()}
+    assert report == {"rows": 2, "unique_ids": 2, "bad_id_length": 0}
+    assert {r.column_name: r.n_nulls for r in quality.null_profile(incomes).collect()}["Median_Household_Income"] == 1
 
 
 def test_crosswalk(spark):
@@ -108,12 +113,18 @@ def test_samples(spark):
     assert len(got) == 20 and sum(r.is_weekend for r in got) == 6
     assert {r.date for r in got} == {r.date for r in sampling.sample_dates(days.repartition(7), 20).collect()}
     assert not days.filter("is_weekend and weekday < 6").count()
+    assert sampling.sample_dates(days.filter("is_weekend"), 10).count() == 10 and sampling.sample_dates(days.filter("not is_weekend"), 70).count() == 44
 
 
 def test_sets_and_quality(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([("2", 7)], "k string, w int")
     assert sets.union_diagonal([a.withColumn("k", F.col("k").cast("string")), b]).count() == 2
-    assert [r.k for r in sets.union_relaxed([a, b.withColumnRenamed("w", "v")]).collect()] == [1, 2]
+    assert [(r.k, r.v) for r in sets.union_relaxed([a, b.withColumnRenamed("w", "v")]).collect()] == [("1", "x"), ("2", "7")]
+    numbers_ = spark.createDataFrame([(1,)], "v int"), spark.createDataFrame([(2.7,), (1e12,)], "v double"), spark.createDataFrame([(2**40,)], "v long")
+    wide_ = sets.union_relaxed(list(numbers_))
+    assert wide_.dtypes == [("v", "double")] and [r.v for r in wide_.collect()] == [1.0, 2.7, 1e12, 2.0**40]
+    kinds = [("int", "bigint", "bigint"), ("date", "timestamp_ntz", "timestamp_ntz"), ("decimal(5,2)", "int", "decimal(22,2)"), ("decimal(5,2)", "float", "double"), ("boolean", "int", "string"), ("void", "date", "date")]
+    assert all(sets._wider(a, b) == c == sets._wider(b, a) for a, b, c in kinds)
     months = spark.createDataFrame([("1", 100), ("2", 100), ("3", 20), ("4", 40)], "sample_month string, customers int")
     assert {r.sample_month: r.grade for r in quality.under_sampled(months).collect()} == {"1": "ok", "2": "ok", "3": "critical", "4": "ok"}
     empty = spark.createDataFrame([], "k int, v string")
@@ -185,14 +196,72 @@ def test_files(spark, tmp_path, monkeypatch):
     assert sorted(r.uri for r in files.uris(spark, str(tmp_path / "u.txt"), "s3://mine").collect()) == ["s3://mine/a/b.csv", "s3://other/c.csv"]
     monkeypatch.setenv("VOLT_X", "7")
     assert files.with_environment({"a": ["${VOLT_X}/${VOLT_Y:-z}"]}) == {"a": ["7/z"]}
-    with pytest.raises(KeyError):
-        files.with_environment("${VOLT_NONE}")
+    assert files.with_environment("${VOLT_NONE}") == "${VOLT_NONE}"
+    (tmp_path / "c.yaml").write_text("{year: 2024, month: 5, to: '${VOLT_X}'}")
+    config = files.load_config(str(tmp_path / "c.yaml"))
+    assert config["to"] == "7" and files.configured_month(config) == (2024, 5)
+    with pytest.raises(ValueError, match="month"):
+        files.configured_month({"month": 13})
+    (tmp_path / "c.yaml").write_text("[1]")
+    with pytest.raises(ValueError, match="mapping"):
+        files.load_config(str(tmp_path / "c.yaml"))
+    at = files.run_manifest(str(tmp_path / "run"), "stage2_manifest", {"predictors_used": ["b", "a", "b"]}, k_min=3)
+    assert json.loads(open(at).read())["k_min"] == 3 and files.listed(str(tmp_path / "run")) == ["a", "b"] and files.listed(str(tmp_path)) is None
     calls = []
     for _ in range(2):
         files.read_through(spark, str(tmp_path / "cache"), lambda: calls.append(1) or spark.range(3))
     assert len(calls) == 1 and files.row_count(spark, str(tmp_path / "cache")) == 3
 
 
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    made = files.synthetic_wide(spark, 2, "2023-08-01", 1).toPandas()
+    a, b = intervals.INTERVALS[:2]
+    made[a], made[b] = 0.1, 0.2
+    swapped = made.rename(columns={a: b, b: a})[[*made.columns[:5], a, b, *made.columns[7:]]]
+    swapped[a], swapped[b] = 0.1, 0.2
+    more = made.assign(**{intervals.INTERVALS[48]: 0.5, intervals.INTERVALS[49]: 0.6, "INTERVAL_LENGTH": 30})
+    for name, f in (("a_202308", made), ("b_202309", swapped[[*reversed(swapped.columns)]]), ("c_202311", more)):
+        f.to_csv(raw / f"{name}.csv", index=False)
+    (raw / "empty.csv").write_text("")
+    df = files.wide_csv(spark, str(raw))
+    assert df.columns == [*intervals.IDS, *intervals.INTERVALS, "source_key", "sample_month"]
+    rows = df.collect()
+    assert len(rows) == 6 and all(r[a] == 0.1 and r[b] == 0.2 and r.ZIP_CODE.startswith("606") for r in rows)
+    assert sorted((r.sample_month, r[intervals.INTERVALS[49]]) for r in rows if r.ACCOUNT_IDENTIFIER == "0") == [("202308", None), ("202309", None), ("202311", 0.6)]
+    extra = {r.column_name: r for r in quality.dst_columns(df).collect()}
+    assert {r.n_nulls for r in extra.values()} == {4} and quality.dst_days(df).count() == 1
+    done = {r.source_key[-10:]: r.n_rows for r in files.ingest(spark, str(raw), str(tmp_path / "long")).collect()}
+    assert done == {"202308.csv": 96, "202309.csv": 96, "202311.csv": 100}
+    long = spark.read.parquet(str(tmp_path / "long"))
+    assert intervals.of_sample_month(long).count() == 96 and {"date", "hour", "weekday", "is_weekend"} < set(long.columns)  # all of August's, none of the others'
+    files.write_csv(spark.range(2).selectExpr("id", "id * 2 as twice"), str(tmp_path / "out"))
+    assert files.inferred_csv(spark, str(tmp_path / "out")).dtypes == [("id", "int"), ("twice", "int")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "w.tsv").write_text("Zip\tZip4\n60601\t0001\n")
+    assert files.tsv(spark, str(tmp_path / "t")).first().Zip4 == "0001"
+    made.drop(columns="ZIP_CODE").to_csv(raw / "d_202312.csv", index=False)
+    with pytest.raises(ValueError, match="ZIP_CODE"):
+        files.wide_csv(spark, str(raw))
+    with pytest.raises(ValueError, match="header"):
+        (tmp_path / "no").mkdir()
+        (tmp_path / "no" / "x.csv").write_text("")
+        files.csv_by_name(spark, str(tmp_path / "no"))
+
+
+def test_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, float(v)) for k, n in (("a", 500), ("b", 1), ("c", 40)) for v in np.round(np.exp(3 * rng.normal(size=n)), 1)] + [(None, 2.0), (None, 4.0), ("d", None), ("e", 5.0), ("e", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = {r.k: r[1:] for r in reports.quantiles_by_ranges(df, ["k"], "v", at, 16).collect()}
+    assert set(got) == {"a", "b", "c", None, "e"}
+    for k, own in got.items():
+        assert np.allclose(own, np.quantile([v for x, v in rows if x == k and v is not None], at))
+    assert np.allclose(reports.quantiles_by_ranges(df, [], "v", (0.3,)).first()[0], np.quantile([v for _, v in rows if v is not None], 0.3))
+
+
 def test_streaming_hours(spark, tmp_path):
     rows = [("a", "z", dt.datetime(2023, 8, 1, h, m), 1.0) for h in range(6) for m in (0, 30)]
     df = spark.createDataFrame(rows, "account_identifier string, zip_code string, datetime timestamp, kwh double")

@@ -43,44 +43,39 @@ def _terms(table: str, *numbers_: int) -> str:
     return " + ".join(f"{table}_{n:03d}E" for n in numbers_)
 
 
-#: The usual features of household surveys: income, housing, age of buildings, heating, education, work, tenure, people.
+def _ages(*bands: tuple[int, int]) -> str:
+    """Both sexes' counts of the age bands from the first to the last number (of men; women's are 24 further on)."""
+    rows = [n for a, b in bands for n in range(a, b + 1)]
+    return _terms("B01001", *rows, *[n + 24 for n in rows])
+
+
+def _shares(table: str, whole: int, category: str, **parts: tuple[int, ...]) -> list[Feature]:
+    return [_share(name, _terms(table, *own), _terms(table, whole), category) for name, own in parts.items()]
+
+
+#: The 47 predictors of the second stage.
 FEATURES = [
-    Feature("median_household_income", "B19013_001E", category="income"),
-    Feature("per_capita_income", "B19301_001E", category="income"),
-    Feature("log_total_households", "B11001_001E", None, "log", "people"),
-    Feature("median_age", "B01002_001E", category="people"),
-    Feature("median_home_value", "B25077_001E", category="housing"),
-    Feature("median_gross_rent", "B25064_001E", category="housing"),
-    Feature("median_year_built", "B25035_001E", category="housing"),
-    Feature("persons_per_household", "B25010_001E", category="people"),
-    _share("owner_occupied_pct", "B25003_002E", "B25003_001E", "tenure"),
-    _share("renter_occupied_pct", "B25003_003E", "B25003_001E", "tenure"),
-    _share("vacant_pct", "B25002_003E", "B25002_001E", "housing"),
-    *[_share(f"{n}_pct", _terms("B25024", *k), "B25024_001E", "housing") for n, k in {"single_detached": (2,), "single_attached": (3,), "small_multifamily": (4, 5), "mid_multifamily": (6, 7), "large_multifamily": (8, 9), "mobile_home": (10,)}.items()],
-    *[_share(f"built_{n}_pct", _terms("B25034", *k), "B25034_001E", "housing") for n, k in {"2010_on": (2, 3), "1990_2009": (4, 5), "1970_1989": (6, 7), "1950_1969": (8, 9), "before_1950": (10, 11)}.items()],
-    *[_share(f"heat_{n}_pct", _terms("B25040", *k), "B25040_001E", "heating") for n, k in {"utility_gas": (2,), "bottled_gas": (3,), "electricity": (4,), "fuel_oil": (5,), "solar": (8,), "none": (10,)}.items()],
-    _share("high_school_pct", _terms("B15003", 17, 18), "B15003_001E", "education"),
-    _share("some_college_pct", _terms("B15003", 19, 20, 21), "B15003_001E", "education"),
-    _share("bachelors_pct", _terms("B15003", 22), "B15003_001E", "education"),
-    _share("graduate_pct", _terms("B15003", 23, 24, 25), "B15003_001E", "education"),
-    _share("employed_pct", "B23025_004E", "B23025_003E", "work"),
-    _share("unemployed_pct", "B23025_005E", "B23025_003E", "work"),
-    _share("not_in_labor_force_pct", "B23025_007E", "B23025_001E", "work"),
-    _share("work_from_home_pct", "B08301_021E", "B08301_001E", "work"),
-    _share("drive_alone_pct", "B08301_003E", "B08301_001E", "work"),
-    _share("transit_pct", "B08301_010E", "B08301_001E", "work"),
-    _share("households_one_person_pct", "B11016_010E", "B11016_001E", "people"),
-    _share("households_four_plus_pct", _terms("B11016", 5, 6, 7, 8, 13, 14, 15, 16), "B11016_001E", "people"),
-    _share("with_children_pct", "B11005_002E", "B11005_001E", "people"),
-    _share("with_seniors_pct", "B11007_002E", "B11007_001E", "people"),
-    _share("under_18_pct", _terms("B01001", 3, 4, 5, 6, 27, 28, 29, 30), "B01001_001E", "people"),
-    _share("over_65_pct", _terms("B01001", *range(20, 26), *range(44, 50)), "B01001_001E", "people"),
-    _share("broadband_pct", "B28002_004E", "B28002_001E", "housing"),
-    _share("poverty_pct", _terms("C17002", 2, 3), "C17002_001E", "income"),
-    _share("low_income_pct", _terms("B19001", 2, 3, 4, 5), "B19001_001E", "income"),
-    _share("high_income_pct", _terms("B19001", 16, 17), "B19001_001E", "income"),
+    *[Feature(n, c, category=k) for k, n, c in (("economic", "median_household_income", "B19013_001E"), ("household", "avg_household_size", "B25010_001E"), ("household", "avg_family_size", "B25010_002E"), ("demographic", "median_age", "B01002_001E"))],
+    *_shares("B23025", 3, "economic", unemployment_rate=(5,)),
+    *_shares("B23025", 2, "economic", pct_in_civilian_labor_force=(3,)),
+    *_shares("B23025", 1, "economic", pct_not_in_labor_force=(7,)),
+    *_shares("B19001", 1, "economic", pct_income_under_25k=(2, 3, 4, 5), pct_income_25k_to_75k=tuple(range(6, 13)), pct_income_75k_plus=tuple(range(13, 18))),
+    *_shares("B25003", 1, "housing", pct_owner_occupied=(2,), pct_renter_occupied=(3,)),
+    *_shares("B25002", 1, "housing", pct_vacant_housing_units=(3,)),
+    *_shares("B25040", 1, "housing", pct_heat_utility_gas=(2,), pct_heat_electric=(5,)),
+    *_shares("B25034", 1, "housing", pct_housing_built_2000_plus=(2, 3, 4, 5), pct_housing_built_1980_1999=(6, 7), old_building_pct=(8, 9, 10, 11)),
+    *_shares("B25024", 1, "housing", pct_structure_single_family_detached=(2,), pct_structure_single_family_attached=(3,), pct_structure_multifamily_2_to_4=(4, 5), pct_structure_multifamily_5_to_19=(6, 7), pct_structure_multifamily_10_plus=(7, 8, 9), pct_structure_multifamily_20_plus=(8, 9), pct_structure_mobile_home=(10,)),
+    *_shares("B25075", 1, "housing", pct_home_value_under_150k=tuple(range(2, 15)), pct_home_value_150k_to_299k=tuple(range(15, 20)), pct_home_value_300k_plus=tuple(range(20, 28))),
+    *_shares("B25070", 1, "housing", pct_rent_burden_30_plus=(7, 8, 9, 10), pct_rent_burden_50_plus=(10,)),
+    *_shares("B25091", 2, "housing", pct_owner_cost_burden_30_plus_mortgage=(8, 9, 10, 11), pct_owner_cost_burden_50_plus_mortgage=(11,)),
+    *_shares("B25014", 2, "housing", pct_owner_overcrowded_2plus_per_room=(7,)),
+    *_shares("B25014", 8, "housing", pct_renter_overcrowded_2plus_per_room=(13,)),
+    *_shares("B11001", 1, "household", pct_single_parent_households=(6, 7)),
+    *_shares("B03002", 1, "demographic", pct_white_alone=(3,), pct_black_alone=(4,), pct_asian_alone=(6,), pct_two_or_more_races=(9,)),
+    *_shares("B01001", 1, "demographic", pct_female=(26,)),
+    *[_share(f"pct_population_{n}", _ages(own), "B01001_001E", "demographic") for n, own in {"under_5": (3, 3), "5_to_17": (4, 6), "18_to_24": (7, 10), "25_to_44": (11, 14), "45_to_64": (15, 19), "65_plus": (20, 25)}.items()],
+    _share("urban_percent", "H2_002N", "H2_002N + H2_003N", "spatial"),
 ]
-URBAN = _share("urban_percent", "H2_002N", "H2_002N + H2_003N", "place")
 
 
 def raw_codes(features: list[Feature]) -> list[str]:
@@ -110,6 +105,6 @@ def attach(features: DataFrame, more: DataFrame, key: str = "GEOID") -> DataFram
 
 def validate(df: DataFrame, key: str = "GEOID", percents: list[str] | None = None, length: int = 12) -> DataFrame:
     """(metric, value): rows, distinct and ill-formed ids, and for each percentage the values outside 0 to 100."""
-    percents = [c for c in df.columns if c.endswith(("_pct", "_percent"))] if percents is None else percents
+    percents = [c for c in df.columns if c.startswith("pct_") or c.endswith(("_pct", "_percent", "_rate"))] if percents is None else percents
     made = {"rows": F.count("*"), "unique_ids": F.countDistinct(key), "bad_id_length": F.count_if(F.length(key) != length), **{f"outside_{c}": F.count_if(~F.col(c).between(0, 100)) for c in percents}}
     return df.agg(*[v.cast("double").alias(k) for k, v in made.items()]).unpivot([], list(made), "metric", "value")

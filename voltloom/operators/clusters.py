@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def fit(profiles: DataFrame, k: int, seed: int = 42, n_init: int = 3, vector_col: str = "profile") -> KMeansModel:
     """The best of n_init starts by cost over all rows."""
     own = profiles.select(array_to_vector(F.col(vector_col)).alias("features")).persist()
     try:
-        models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(own) for i in range(n_init)]
+        return _best(own, k, seed, n_init)
     finally:
         own.unpersist()
+
+
+def _best(own: DataFrame, k: int, seed: int, n_init: int) -> KMeansModel:
+    models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(own) for i in range(n_init)]
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -89,12 +92,15 @@ def choose_k(found: list[tuple[int, float, float | None]]) -> int:
 
 def search_k(profiles: DataFrame, ks: range, seed: int = 42, most: int = 5000, vector_col: str = "profile", n_init: int = 3) -> tuple[int, DataFrame]:
     """(best k, table of k, inertia, silhouette), each k fitted from n_init starts."""
-    own = profiles.withColumn("features", array_to_vector(F.col(vector_col)))
+    own = profiles.withColumn("features", array_to_vector(F.col(vector_col))).persist()  # read once for all k
     found = []
-    for k in ks:
-        model = fit(profiles, k, seed, n_init, vector_col)
-        assigned = model.transform(own).withColumnRenamed("prediction", "cluster")
-        found.append((k, float(model.summary.trainingCost), silhouette(assigned, most, None, seed, vector_col)))
+    try:
+        for k in ks:
+            model = _best(own, k, seed, n_init)
+            assigned = model.transform(own).withColumnRenamed("prediction", "cluster")
+            found.append((k, float(model.summary.trainingCost), silhouette(assigned, most, None, seed, vector_col)))
+    finally:
+        own.unpersist()
     return choose_k(found), profiles.sparkSession.createDataFrame(found, "k int, inertia double, silhouette double")
 
 

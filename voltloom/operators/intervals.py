@@ -18,8 +18,8 @@ def canonical(df: DataFrame, columns: list[str], kind: str = "string") -> DataFr
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(kind).alias(c) for c in columns])
 
 
-def wide_to_long(wide: DataFrame) -> DataFrame:
-    """One row for each reading that is there. Missing id columns or interval columns raise."""
+def wide_to_long(wide: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each reading that is there, with the columns `more`. Missing id columns or interval columns raise."""
     if missing := [c for c in IDS if c not in wide.columns]:
         raise ValueError(f"missing columns: {missing}")
     there = [c for c in INTERVALS if c in wide.columns]
@@ -27,12 +27,12 @@ def wide_to_long(wide: DataFrame) -> DataFrame:
         raise ValueError("no interval columns")
     day = times.parse_day(F.col("INTERVAL_READING_DATE"), wide.schema["INTERVAL_READING_DATE"].dataType.simpleString())
     clock = [int(c[11:13]) * 60 + int(c[13:15]) for c in there]  # minutes, from the column's name
-    slim = wide.select(*IDS[:4], day.alias("day"), F.posexplode(F.array(*[F.col(c).try_cast("double") for c in there])).alias("slot", "kwh")).filter("kwh is not null")
+    slim = wide.select(*IDS[:4], *more, day.alias("day"), F.posexplode(F.array(*[F.col(c).try_cast("double") for c in there])).alias("slot", "kwh")).filter("kwh is not null")
     minutes = F.element_at(F.array(*map(F.lit, clock)), F.col("slot") + 1)
     long = slim.withColumn("minutes", minutes)
     return long.select(
         F.col("ZIP_CODE").cast("string").alias("zip_code"), F.col("DELIVERY_SERVICE_CLASS").alias("delivery_service_class"), F.col("DELIVERY_SERVICE_NAME").alias("delivery_service_name"),
-        F.col("ACCOUNT_IDENTIFIER").cast("string").alias("account_identifier"), times.end_stamp(F.col("day"), F.expr("minutes div 60").cast("int"), F.col("minutes") % 60).alias("datetime"), "kwh",
+        F.col("ACCOUNT_IDENTIFIER").cast("string").alias("account_identifier"), times.end_stamp(F.col("day"), F.expr("minutes div 60").cast("int"), F.col("minutes") % 60).alias("datetime"), "kwh", *more,
     )
 
 
@@ -67,6 +67,11 @@ def add_time_columns(long: DataFrame, day_mode: str = "calendar", weekend_from:
     )
 
 
+def of_sample_month(long: DataFrame) -> DataFrame:
+    """Rows whose date lies in the month of the file that they came in; files hold a few readings of the next month."""
+    return long.filter(times.year_month(F.col("date")) == F.col("sample_month"))
+
+
 def of_month(long: DataFrame, year: int, month: int) -> DataFrame:
     """Rows whose date lies in the month."""
     first = F.make_date(F.lit(year), F.lit(month), F.lit(1))

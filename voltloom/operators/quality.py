@@ -112,3 +112,46 @@ def under_sampled(by_month: DataFrame, month: str = "sample_month", n: str = "cu
     others = (F.sum(n).over(w) - F.col(n)) / (F.count(F.lit(1)).over(w) - 1)
     out = by_month.withColumn("others", F.when(F.count(F.lit(1)).over(w) > 1, others)).withColumn("ratio", F.expr(f"try_divide({n}, others)"))
     return out.withColumn("grade", F.when(F.col("ratio") < 0.3, "critical").when(F.col("ratio") < 0.5, "low").otherwise("ok"))
+
+
+def topped_up(by_month: DataFrame, month: str = "sample_month", n: str = "customers") -> DataFrame:
+    """under_sampled() after more customers were added: from 0.8 of the other months' mean comparable, from 0.5 usable, below low."""
+    out = under_sampled(by_month, month, n)
+    return out.withColumn("grade", F.when(F.col("ratio") >= 0.8, "comparable").when(F.col("ratio") >= 0.5, "usable").otherwise("low"))
+
+
+def hour_balance(long: DataFrame, most: float = 5.0) -> DataFrame:
+    """(hour, n, pct_off, balanced): readings of each hour against a 24th of all, in percent."""
+    by = long.groupBy("hour").agg(F.count("*").alias("n"))
+    even = F.sum("n").over(Window.partitionBy()) / 24  # of 24 rows
+    return by.withColumn("pct_off", (F.col("n") - even) / even * 100).withColumn("balanced", F.abs("pct_off") < most)
+
+
+def production_profile(long: DataFrame, days: int = 31, slots: int = 48) -> DataFrame:
+    """One row: accounts, zip codes, days, rows an account against days * slots (in percent), nulls, repeated readings, range of kwh and a status."""
+    by = long.groupBy("account_identifier", "datetime").agg(F.count("*").alias("n"), F.count_if(F.expr("kwh is null or zip_code is null or account_identifier is null or datetime is null")).alias("holes"), F.min("kwh").alias("low"), F.max("kwh").alias("high"))
+    facts = by.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_repeated"), F.sum("holes").alias("n_with_null"), F.min("low").alias("min_kwh"), F.max("high").alias("max_kwh"))
+    sizes = long.agg(F.countDistinct("account_identifier").alias("n_accounts"), F.countDistinct("zip_code").alias("n_zips"), F.countDistinct("date").alias("n_days"))
+    own = sizes.crossJoin(facts).withColumn("pct_coverage", F.expr(f"try_divide(n_rows, n_accounts) / {days * slots} * 100"))  # one row each
+    bad = F.col("n_accounts").isNull() | (F.col("n_accounts") == 0) | (F.col("min_kwh") < 0) | (F.col("n_with_null") > 0)
+    warn = (F.col("max_kwh") > 10) | (F.col("n_repeated") > 0) | (F.col("n_days") < days)
+    return own.withColumn("status", F.when(bad, "ISSUE").when(warn, "WARNING").otherwise("OK"))
+
+
+#: Columns that hold readings on the day clocks go back only.
+EXTRA_SLOTS = ("INTERVAL_HR2430_ENERGY_QTY", "INTERVAL_HR2500_ENERGY_QTY")
+
+
+def dst_columns(wide: DataFrame, day: str = "INTERVAL_READING_DATE") -> DataFrame:
+    """(column_name, n_rows, n_nulls, pct_null, n_days, mean_value, low, high) of both extra slots; a column that isn't there is null throughout."""
+    own = wide.withColumns({c: F.lit(None).cast("double") for c in EXTRA_SLOTS if c not in wide.columns})
+    long = own.select(F.col(day).alias("_day"), *[F.col(c).cast("double").alias(c) for c in EXTRA_SLOTS]).unpivot(["_day"], list(EXTRA_SLOTS), "column_name", "value")
+    out = long.groupBy("column_name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_nulls"), F.countDistinct(F.when(F.col("value").isNotNull(), F.col("_day"))).alias("n_days"), F.avg("value").alias("mean_value"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return out.select("column_name", "n_rows", "n_nulls", (F.col("n_nulls") / F.col("n_rows") * 100).alias("pct_null"), "n_days", "mean_value", "low", "high")
+
+
+def dst_days(wide: DataFrame, day: str = "INTERVAL_READING_DATE") -> DataFrame:
+    """(day, n_rows) that have a reading in an extra slot; those that clocks don't go back on shouldn't be here."""
+    there = [F.col(c).isNotNull() for c in EXTRA_SLOTS if c in wide.columns] or [F.lit(False)]
+    some = there[0] if len(there) == 1 else there[0] | there[1]
+    return wide.filter(some).groupBy(F.col(day).alias("day")).agg(F.count("*").alias("n_rows"))

@@ -38,6 +38,33 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...])
     return p.select(*keys, *[F.col("p")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(at)])
 
 
+def quantiles_by_ranges(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], ranges: int = 1024) -> DataFrame:
+    """As quantiles(), without any task that holds a group: values are counted, counts are summed over ranges of values, and ranks are looked up in the ranges."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ends = counted.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] or [F.lit(True)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    own = counted.alias("a").join(ends.alias("b"), on).select("a.*", "_low", "_high", "_all")
+    own = own.withColumn("_r", F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (ranges - 1))).otherwise(F.lit(0)))
+    by = own.groupBy(*keys, "_r").agg(F.sum("_n").alias("_t"))
+    by = by.withColumn("_before", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_r")) - F.col("_t")).drop("_t")  # at most `ranges` rows a group
+    on = F.col("a._r") == F.col("b._r")
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    own = own.alias("a").join(by.alias("b"), on).select("a.*", "_before")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy("_v"))
+    own = own.withColumn("_to", upto).withColumn("_from", upto - F.col("_n"))
+    found = []
+    for q in at:  # the value of rank k has _from <= k < _to, ranks from 0
+        place = (F.col("_all") - 1) * F.lit(q)
+        low, high = F.floor(place), F.ceil(place)
+        hit = lambda k: F.max(F.when((F.col("_from") <= k) & (k < F.col("_to")), F.col("_v")))
+        found.append((hit(low) + (hit(high) - hit(low)) * F.max(place - low)).alias(f"p{round(q * 100)}"))
+    return own.groupBy(*keys).agg(*found)
+
+
 def approximate_quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
     """As quantiles(), from a mergeable sketch of bounded size."""
     p = df.groupBy(*keys).agg(F.percentile_approx(value, list(at), accuracy).alias("p"))

@@ -38,11 +38,16 @@ def draw(df: DataFrame, n: int, order: Column, *ties: str) -> DataFrame:
 
 
 def sample_dates(dates: DataFrame, n: int, weekday_share: float = 0.7, order: Column | None = None, seed: int = 42) -> DataFrame:
-    """n dates, the given share weekdays; where one kind is short, it gives what it has and no other fills in."""
+    """n dates, the given share weekdays; where one kind is short, it gives what it has and no other fills in.
+
+    Where one kind is missing altogether, all n are of the other.
+    """
     order = hashed(F.col("date"), seed) if order is None else order
-    quota = F.when(F.col("is_weekend"), n - int(n * weekday_share)).otherwise(int(n * weekday_share))
-    ranked = dates.withColumn("r", F.row_number().over(Window.partitionBy("is_weekend").orderBy(order, "date")))
-    return ranked.filter(F.col("r") <= quota).drop("r")
+    everything = Window.partitionBy()  # a row for each day
+    both = F.bool_or("is_weekend").over(everything) & F.bool_or(~F.col("is_weekend")).over(everything)
+    quota = F.when(~both, n).when(F.col("is_weekend"), n - int(n * weekday_share)).otherwise(int(n * weekday_share))
+    ranked = dates.withColumn("q", quota).withColumn("r", F.row_number().over(Window.partitionBy("is_weekend").orderBy(order, "date")))
+    return ranked.filter("r <= q").drop("r", "q")
 
 
 def sample_by_month(df: DataFrame, most: int, order: Column) -> DataFrame:

@@ -19,9 +19,32 @@ def union_diagonal(tables: list[DataFrame]) -> DataFrame:
 
 
 def union_relaxed(tables: list[DataFrame]) -> DataFrame:
-    """Columns of the first table; the others' are cast to its types."""
-    types = tables[0].dtypes
-    return union_all([tables[0], *[t.select(*[F.col(f"`{c}`").try_cast(k).alias(c) for c, k in types]) for t in tables[1:]]])
+    """Columns of the first table, each of the least type that holds the values of all: numbers and times are widened, what has nothing in common is text."""
+    types = {c: reduce(_wider, [dict(t.dtypes)[c] for t in tables]) for c in tables[0].columns}
+    return union_all([t.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in types.items()]) for t in tables])
+
+
+_WHOLE, _TIMES = ["tinyint", "smallint", "int", "bigint"], ["date", "timestamp_ntz", "timestamp"]
+
+
+def _wider(a: str, b: str) -> str:
+    if a == b or b == "void":
+        return a
+    if a == "void":
+        return b
+    for order in (_WHOLE, _TIMES):
+        if a in order and b in order:
+            return max(a, b, key=order.index)
+    if {a, b} <= {*_WHOLE, "float", "double"}:
+        return "double"
+    exact = [x for x in (a, b) if x.startswith("decimal")]
+    if exact and {a, b} <= {*_WHOLE, "float", "double", *exact}:
+        if not {a, b} <= {*_WHOLE, *exact}:
+            return "double"
+        digits = [tuple(map(int, x[8:-1].split(","))) if x in exact else (20, 0) for x in (a, b)]
+        scale = max(s for _, s in digits)
+        return f"decimal({min(38, max(p - s for p, s in digits) + scale)},{scale})"
+    return "string"
 
 
 def union_distinct(tables: list[DataFrame]) -> DataFrame:

@@ -90,6 +90,24 @@ def census_chunks(spark, sf_dir):
     return census.join_chunks([names, a, b], ["k"])
 
 
+#: Made-up counts of every raw column of the 47 predictors; a few whole counts are 0, a few values a survey's codes.
+_CODES = census.raw_codes(census.FEATURES)
+_COUNT = "CASE WHEN (c_custkey + {0}) % 41 = 0 THEN -666666666 WHEN (c_custkey * 3 + {0}) % 37 = 0 THEN 0 ELSE (c_custkey * 131 + {0} * 977) % 503 END"
+
+
+def _predictor_sql(f):
+    terms = lambda e: " + ".join(f'"{c}"' for c in numbers.codes(e))
+    own = f"CASE WHEN {terms(f.denominator)} > 0 THEN ({terms(f.value)}) / ({terms(f.denominator)}) * 100 END" if f.denominator else terms(f.value)
+    return f'round(CAST({own} AS DOUBLE), 4) AS "{f.name}"'
+
+
+@query(f"""WITH r AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS "GEOID", {", ".join(f'nullif({_COUNT.format(i)}, -666666666) AS "{c}"' for i, c in enumerate(_CODES))} FROM customer)
+    SELECT "GEOID", {", ".join(map(_predictor_sql, census.FEATURES))} FROM r""")
+def census_predictors(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").select(strings.zfill(F.col("c_custkey"), 12).alias("GEOID"), *[F.expr(_COUNT.format(i)).alias(c) for i, c in enumerate(_CODES)])
+    return rounded(census.build(raw, census.FEATURES))
+
+
 def _walk(spark, sf_dir):
     """Suppliers' nations as zip codes, suppliers as block groups; nation 0 is unknown."""
     return table(spark, sf_dir, "supplier").filter("s_nationkey > 0").select(strings.zfill(F.col("s_nationkey"), 5).alias("zip_code"), strings.zfill(F.col("s_suppkey") % 50, 12).alias("GEOID")).distinct()
@@ -242,10 +260,13 @@ def multinomial_fit(spark, sf_dir):
 def log_ratio_regression(spark, sf_dir):
     long = stage2.log_ratios(_model(spark, sf_dir), list(K), 0).persist()
     rows = []
-    for k in K[1:]:
-        for kind, weight in (("wls", "total"), ("ols", None)):
-            fit = stage2.weighted_regression(long.filter(F.col("cluster") == k), "log_ratio", ["balance", "mix"], weight)
-            rows += [(k, kind, name, float(c), float(s), float(fit["r2"]), int(fit["n"])) for name, c, s in zip(["(Intercept)", "balance", "mix"], fit["coef"], fit["se"])]
+    try:
+        for k in K[1:]:
+            for kind, weight in (("wls", "total"), ("ols", None)):
+                fit = stage2.weighted_regression(long.filter(F.col("cluster") == k), "log_ratio", ["balance", "mix"], weight)
+                rows += [(k, kind, name, float(c), float(s), float(fit["r2"]), int(fit["n"])) for name, c, s in zip(["(Intercept)", "balance", "mix"], fit["coef"], fit["se"])]
+    finally:
+        long.unpersist()
     return spark.createDataFrame(rows, "cluster int, kind string, predictor string, coefficient double, std_err double, r_squared double, nobs long")
 
 

@@ -104,11 +104,12 @@ def profile_complete(spark, sf_dir):
     return rounded(profiles.complete(profiles.daily_profiles(timed(spark, sf_dir)), 2).select("account_identifier", "zip_code", "date", "is_weekend", "weekday"))
 
 
-@query(f"""{T}, a AS (SELECT account_identifier FROM r GROUP BY 1 HAVING CAST(account_identifier AS BIGINT) % 3 = 0), d AS (SELECT DISTINCT date FROM t WHERE weekday < 6)
+@query(f"""{T}, k AS (SELECT DISTINCT CAST(account_identifier AS BIGINT) AS k FROM r), a AS (SELECT CAST(k AS VARCHAR) AS account_identifier FROM k ORDER BY {LOT}, k LIMIT 50), d AS (SELECT DISTINCT date FROM t WHERE weekday < 6)
     SELECT account_identifier, zip_code, CAST(date AS VARCHAR) AS date, count(*) AS n FROM t WHERE account_identifier IN (FROM a) AND date IN (FROM d) GROUP BY ALL HAVING count(*) = 1""")
 def profile_sampled(spark, sf_dir):
     own = timed(spark, sf_dir)
-    accounts = own.select("account_identifier").distinct().filter("cast(account_identifier as bigint) % 3 = 0")
+    everyone = own.select("account_identifier").distinct()
+    accounts = sampling.draw(everyone, 50, sampling.lot(F.col("account_identifier"), 42), "account_identifier")
     out = profiles.prepare(own, accounts, sampling.date_manifest(own).filter("not is_weekend"), 1)
     return rounded(out.select("account_identifier", "zip_code", "date", F.size("profile").cast("long").alias("n")))
 
@@ -165,6 +166,12 @@ def union_relaxed(spark, sf_dir):
     return sets.union_relaxed([a, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))])
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_nationkey AS DOUBLE) AS v FROM customer UNION ALL SELECT o_custkey, o_totalprice FROM orders UNION ALL SELECT n_nationkey, CAST(n_regionkey AS DOUBLE) FROM nation")
+def union_widened(spark, sf_dir):
+    parts = (("customer", "c_custkey", "c_nationkey"), ("orders", "o_custkey", "o_totalprice"), ("nation", "n_nationkey", "n_regionkey"))
+    return sets.union_relaxed([table(spark, sf_dir, t).select(F.col(k).alias("k"), F.col(v).alias("v")) for t, k, v in parts])
+
+
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(spark, sf_dir):
     return sets.union_distinct([table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))])
@@ -195,3 +202,43 @@ def missing_dates(spark, sf_dir):
 def month_list(spark, sf_dir):
     day = F.to_date("o_orderdate")
     return rounded(table(spark, sf_dir, "orders").select("o_orderkey", F.explode(times.months_back(day, F.add_months(day, -2))).alias("month")))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE isodow(ts) < 6), e AS (SELECT date, date_diff('day', DATE '1970-01-01', date) AS k FROM d)
+    SELECT CAST(date AS VARCHAR) AS date, false AS is_weekend FROM e ORDER BY {LOT}, date LIMIT 10""")
+def sample_dates_of_one_kind(spark, sf_dir):
+    own = sampling.date_manifest(timed(spark, sf_dir)).filter("not is_weekend")
+    return rounded(sampling.sample_dates(own, 10, 0.7, sampling.lot(F.unix_date("date"), 42)).select("date", "is_weekend"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS sample_month, CAST(CAST(o_orderdate AS DATE) + 2 AS VARCHAR) AS date FROM orders WHERE strftime(o_orderdate + INTERVAL 2 DAY, '%Y%m') = strftime(o_orderdate, '%Y%m')""")
+def spill_clip(spark, sf_dir):
+    """Orders as readings that come two days late: those of the next month are left out."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", times.year_month(F.col("o_orderdate")).alias("sample_month"), F.date_add("o_orderdate", 2).alias("date"))
+    return rounded(intervals.of_sample_month(own))
+
+
+#: Every customer has a day of 48, 46, 50 or an odd number of readings.
+_SIZES = "CASE c_custkey % 7 WHEN 0 THEN 46 WHEN 1 THEN 50 WHEN 2 THEN 47 ELSE 48 END"
+
+
+def _made_days(spark, sf_dir):
+    slots = F.explode(F.expr(f"sequence(1, {_SIZES})"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("account_identifier"), F.lit("60601").alias("zip_code"), F.expr("date'2024-03-01'").alias("date"), slots.alias("slot"), F.col("c_acctbal").alias("kwh"))
+    return own.withColumn("datetime", times.end_stamp(F.col("date"), F.expr("slot div 2"), F.col("slot") % 2 * 30))
+
+
+@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS account_identifier, '2024-03-01' AS date, {_SIZES} AS n_intervals, CASE {_SIZES} WHEN 48 THEN 'normal' WHEN 46 THEN 'spring_forward' WHEN 50 THEN 'fall_back' ELSE 'odd' END AS day_type,
+    {_SIZES} = 47 AS is_odd_count, {_SIZES} IN (46, 50) AS is_dst_transition FROM customer""")
+def interval_day_qc_kinds(spark, sf_dir):
+    return rounded(quality.interval_day_qc(_made_days(spark, sf_dir)))
+
+
+#: Every customer has two readings on each of the first 20 to 29 days of February 2024.
+@query("""WITH d AS (SELECT c_custkey, unnest(range(20 + c_custkey % 10)) AS d FROM customer), r AS (SELECT c_custkey, d, unnest([0, 1]) AS half FROM d)
+    SELECT CAST(c_custkey AS VARCHAR) AS account_identifier, CAST(TIMESTAMP '2024-02-01' + to_days(CAST(d AS INTEGER)) + to_minutes(30 * half) AS VARCHAR) AS datetime FROM r WHERE (20 + c_custkey % 10) / 29 >= 0.9""")
+def completeness_of_full_months(spark, sf_dir):
+    days = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("account_identifier"), F.explode(F.expr("sequence(0, cast(19 + c_custkey % 10 as int))")).alias("d"))
+    own = days.select("account_identifier", F.expr("date_add(date'2024-02-01', d)").alias("date"), F.explode(F.array(F.lit(0), F.lit(30))).alias("minute"))
+    own = own.withColumn("datetime", times.end_stamp(F.col("date"), F.lit(0), F.col("minute")))
+    return rounded(quality.keep_complete_months(own, 2, 0.9).select("account_identifier", "datetime"))

@@ -165,13 +165,13 @@ def hour_gaps(spark, sf_dir):
     return quality.hour_gaps(readings(spark, sf_dir))
 
 
-@query(f"""{T}, j AS (SELECT t.*, c_name FROM t LEFT JOIN customer ON CAST(account_identifier AS BIGINT) = c_custkey AND c_custkey % 10 > 0),
+@query(f"""{T}, j AS (SELECT t.*, c_name FROM t LEFT JOIN customer ON CAST(account_identifier AS BIGINT) = c_custkey AND c_acctbal > 0),
     v AS (SELECT avg(CASE WHEN c_name IS NOT NULL THEN 100.0 ELSE 0 END) AS m, avg(CASE WHEN c_name IS NULL THEN 100.0 ELSE 0 END) AS n, CAST(count(*) FILTER (WHERE kwh NOT BETWEEN 0 AND 100) AS DOUBLE) AS k FROM j)
     SELECT 'match_rate' AS check_name, round(m, 4) AS value, CASE WHEN m < 90 THEN 'ERROR' WHEN m < 95 THEN 'WARNING' ELSE 'OK' END AS status FROM v
     UNION ALL SELECT 'null_c_name', round(n, 4), CASE WHEN n > 5 THEN 'ERROR' ELSE 'OK' END FROM v
     UNION ALL SELECT 'outside_hour', 0.0, 'OK' UNION ALL SELECT 'outside_weekday', 0.0, 'OK' UNION ALL SELECT 'outside_kwh', k, CASE WHEN k > 0 THEN 'ERROR' ELSE 'OK' END FROM v""")
 def enrichment_checks(spark, sf_dir):
-    who = table(spark, sf_dir, "customer").filter("c_custkey % 10 > 0").select(F.col("c_custkey").cast("string").alias("account_identifier"), "c_name")
+    who = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("account_identifier"), "c_name")
     return rounded(quality.enrichment_checks(timed(spark, sf_dir).join(who, "account_identifier", "left"), "c_name", ["c_name"]))
 
 
@@ -181,3 +181,51 @@ def enrichment_checks(spark, sf_dir):
 def under_sampled_months(spark, sf_dir):
     by = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").alias("sample_month")).agg(F.countDistinct("o_custkey").alias("customers"))
     return rounded(quality.under_sampled(by))
+
+
+@query("""WITH m AS (SELECT l_returnflag || l_linestatus AS sample_month, count(DISTINCT l_suppkey) + count(*) AS customers FROM lineitem GROUP BY 1),
+    o AS (SELECT *, (sum(customers) OVER () - customers) / (count(*) OVER () - 1) AS others FROM m)
+    SELECT sample_month, customers, round(others, 4) AS others, round(customers / others, 4) AS ratio, CASE WHEN customers / others >= 0.8 THEN 'comparable' WHEN customers / others >= 0.5 THEN 'usable' ELSE 'low' END AS grade FROM o""")
+def topped_up_months(spark, sf_dir):
+    """Kinds of lines stand for months: they differ in size as months after a top-up do."""
+    by = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("sample_month")).agg((F.countDistinct("l_suppkey") + F.count("*")).alias("customers"))
+    return rounded(quality.topped_up(by))
+
+
+@query(f"{T}, h AS (SELECT hour, count(*) AS n FROM t GROUP BY 1) SELECT hour, n, round((n - sum(n) OVER () / 24) / (sum(n) OVER () / 24) * 100, 4) AS pct_off, abs((n - sum(n) OVER () / 24) / (sum(n) OVER () / 24) * 100) < 5 AS balanced FROM h")
+def hour_balance(spark, sf_dir):
+    return rounded(quality.hour_balance(timed(spark, sf_dir)))
+
+
+@query(f"""{T}, f AS (SELECT count(DISTINCT account_identifier) AS n_accounts, count(DISTINCT zip_code) AS n_zips, count(DISTINCT date) AS n_days, count(*) AS n_rows, count(*) - count(DISTINCT (account_identifier, datetime)) AS n_repeated,
+    count(*) FILTER (WHERE kwh IS NULL) AS n_with_null, round(min(kwh), 4) AS min_kwh, round(max(kwh), 4) AS max_kwh FROM t)
+    SELECT *, round(n_rows / n_accounts / 1488 * 100, 4) AS pct_coverage, CASE WHEN min_kwh < 0 OR n_with_null > 0 THEN 'ISSUE' WHEN max_kwh > 10 OR n_repeated > 0 OR n_days < 31 THEN 'WARNING' ELSE 'OK' END AS status FROM f""")
+def production_profile(spark, sf_dir):
+    return rounded(quality.production_profile(timed(spark, sf_dir)))
+
+
+#: Orders as wide rows: the extra slots have values on two Sundays of November.
+_BACK = "CASE WHEN month(o_orderdate) = 11 AND dayofmonth(o_orderdate) <= 2 AND o_orderpriority <> '5-LOW' THEN {0} END"
+_BACK_SQL = f"WITH w AS (SELECT CAST(o_orderdate AS DATE) AS day, {_BACK.format('o_totalprice')} AS a, CASE WHEN month(o_orderdate) = 11 AND dayofmonth(o_orderdate) <= 2 THEN CAST(o_custkey AS DOUBLE) END AS b FROM orders)"
+
+
+def _fall_back(spark, sf_dir):
+    back = F.expr("month(o_orderdate) = 11 and dayofmonth(o_orderdate) <= 2")
+    return table(spark, sf_dir, "orders").select(
+        F.to_date("o_orderdate").alias("INTERVAL_READING_DATE"), F.when(back & (F.col("o_orderpriority") != "5-LOW"), F.col("o_totalprice")).alias(quality.EXTRA_SLOTS[0]), F.when(back, F.col("o_custkey").cast("double")).alias(quality.EXTRA_SLOTS[1])
+    )
+
+
+@query(_BACK_SQL + " UNION ALL ".join(f" SELECT '{n}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, round((count(*) - count({c})) / count(*) * 100, 4) AS pct_null, count(DISTINCT CASE WHEN {c} IS NOT NULL THEN day END) AS n_days, round(avg({c}), 4) AS mean_value, round(min({c}), 4) AS low, round(max({c}), 4) AS high FROM w" for n, c in zip(quality.EXTRA_SLOTS, "ab")))
+def dst_columns(spark, sf_dir):
+    return rounded(quality.dst_columns(_fall_back(spark, sf_dir)))
+
+
+@query(f"{_BACK_SQL} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n_rows FROM w WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1")
+def dst_days(spark, sf_dir):
+    return rounded(quality.dst_days(_fall_back(spark, sf_dir)))
+
+
+@query(f"{T} SELECT hour, round(quantile_cont(kwh, 0.01), 4) AS p1, round(quantile_cont(kwh, 0.5), 4) AS p50, round(quantile_cont(kwh, 0.99), 4) AS p99 FROM t GROUP BY 1")
+def hour_quantiles_by_ranges(spark, sf_dir):
+    return rounded(reports.quantiles_by_ranges(timed(spark, sf_dir), ["hour"], "kwh", (0.01, 0.5, 0.99)))

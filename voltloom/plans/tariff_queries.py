@@ -51,8 +51,14 @@ def price_completeness(spark, sf_dir):
     return tariffs.price_quality(tariffs.hourly_prices(feed(spark, sf_dir)))
 
 
-@query("""SELECT epoch_us(ts) // 1000 AS ms, CAST(make_timestamp(epoch_us(ts) // 1000 * 1000) AS VARCHAR) AS utc FROM events""")
+#: Local time by rule: clocks go forward on March's second Sunday at 8:00 UTC and back on November's first Sunday at 7:00 UTC.
+_SUNDAY = "(date_trunc('day', {0}) + to_days(CAST((7 - isodow({0})) % 7 AS INTEGER)))"
+_SUMMER = f"u >= {_SUNDAY.format('make_timestamp(year(u), 3, 8, 0, 0, 0)')} + INTERVAL 8 HOUR AND u < {_SUNDAY.format('make_timestamp(year(u), 11, 1, 0, 0, 0)')} + INTERVAL 7 HOUR"
+
+
+@query(f"""WITH e AS (SELECT epoch_us(ts) // 1000 AS ms, make_timestamp(epoch_us(ts) // 1000 * 1000) AS u FROM events)
+    SELECT ms, CAST(u AS VARCHAR) AS utc, CAST(u - CASE WHEN {_SUMMER} THEN INTERVAL 5 HOUR ELSE INTERVAL 6 HOUR END AS VARCHAR) AS local FROM e""")
 def epoch_millis(spark, sf_dir):
     own = table(spark, sf_dir, "events").select(F.expr("unix_millis(cast(concat(cast(ts as string), '+00:00') as timestamp))").alias("ms"))
-    utc, _ = local_from_millis(F.col("ms"))
-    return own.select("ms", utc.cast("string").alias("utc"))
+    utc, local = local_from_millis(F.col("ms"))
+    return own.select("ms", utc.cast("string").alias("utc"), local.cast("string").alias("local"))

@@ -2,28 +2,67 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
+import platform
 import re
-from collections.abc import Callable
+import subprocess
+import sys
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.functions import strings, times
+from voltloom.operators import intervals, sets
 
 MANIFEST = ("s3_key", "status", "timestamp")
 
 
+def headers(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> list[tuple[str, list[str]]]:
+    """(first line, files that begin with it) of all files with a first line; executors read no more than the lines' blocks."""
+
+    def first_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            lines = []
+            for path in f["path"]:
+                system, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+                with system.open_input_stream(name) as stream:
+                    line = b""
+                    while b"\n" not in line and (more := stream.read(1 << 16)):
+                        line += more
+                lines.append(line.split(b"\n")[0].decode("utf-8-sig", "replace").rstrip("\r"))
+            yield pd.DataFrame({"path": f["path"], "line": lines})
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths).select("path")
+    found = listed.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(first_lines, "path string, line string")
+    by = found.filter("line <> ''").groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [(r.line, r.paths) for r in by.orderBy("line").collect()]  # the listing, which Spark's driver holds anyway
+
+
 def csv_by_name(spark: SparkSession, paths: str | list[str], types: dict[str, str] | None = None, sep: str = ",", strict: bool = False, recursive: bool = True) -> DataFrame:
     """CSV with a header. Columns in types are cast by name, where they are there; others stay text.
 
+    Every file is read by its own header, so columns may be in another order or missing (null) in some files.
     Values that don't fit become null, or raise if strict is set.
     """
-    df = spark.read.option("recursiveFileLookup", recursive).option("header", True).option("sep", sep).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(paths)
+    tables = []
+    for line, some in headers(spark, paths, recursive):
+        names = [n.strip() for n in next(csv.reader([line], delimiter=sep))]
+        reader = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        own = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(some)
+        tables.append(own.withColumn("source_key", F.col("_metadata.file_path")))
+    if not tables:
+        raise ValueError(f"no file with a header in {paths}")
+    df = sets.union_diagonal(tables)
     cast = {c: (F.col(f"`{c}`").cast(k) if strict else F.col(f"`{c}`").try_cast(k)) for c, k in (types or {}).items() if c in df.columns}
-    return df.withColumns(cast) if cast else df
+    df = df.withColumns(cast) if cast else df
+    return df.select(*[c for c in df.columns if c != "source_key"], "source_key")
 
 
 def inferred_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -36,11 +75,25 @@ def tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wide_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Wide interval files, with each row's month (from the file name) and source key."""
-    from voltloom.operators.intervals import INTERVALS
+    """Wide interval files of any header: id columns, 50 intervals (null where a file lacks one), source key, and month (from the file name).
+
+    A file without one of the id columns raises.
+    """
+    df = csv_by_name(spark, paths, {c: "double" for c in intervals.INTERVALS})
+    for line, some in headers(spark, paths):
+        if missing := set(intervals.IDS) - {n.strip() for n in next(csv.reader([line]))}:
+            raise ValueError(f"{some[0]} lacks {sorted(missing)}")
+    own = intervals.canonical(df, [*intervals.IDS, "source_key"])
+    own = df.withColumns({c: F.lit(None).cast("double") for c in intervals.INTERVALS if c not in df.columns}).select(*own.columns[:-1], *intervals.INTERVALS, "source_key")
+    return own.withColumn("sample_month", strings.year_month(F.element_at(F.split("source_key", "/"), -1)))
+
 
-    df = csv_by_name(spark, paths, {c: "double" for c in INTERVALS})
-    return df.withColumn("source_key", F.col("_metadata.file_path")).withColumn("sample_month", strings.year_month(F.element_at(F.split("source_key", "/"), -1)))
+def ingest(spark: SparkSession, paths: str | list[str], to: str, day_mode: str = "calendar") -> DataFrame:
+    """Wide CSV files to one long interval table with time columns, written as Parquet; returns (source_key, n_rows) of every file."""
+    long = intervals.wide_to_long(wide_csv(spark, paths), ("source_key", "sample_month"))
+    own = intervals.add_time_columns(long, day_mode).select("zip_code", "account_identifier", "datetime", "kwh", "date", "hour", "weekday", "is_weekend", "sample_month", "source_key")
+    write_parquet(own, to, mode="overwrite")
+    return spark.read.parquet(to).groupBy("source_key").agg(F.count("*").alias("n_rows"))
 
 
 def parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -130,7 +183,7 @@ def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame])
 
 
 def with_environment(value):
-    """A configuration with ${NAME} and ${NAME:-default} replaced in all its texts; unknown names raise."""
+    """A configuration with ${NAME} and ${NAME:-default} replaced in all its texts; unknown names stay as they are."""
     if isinstance(value, dict):
         return {k: with_environment(v) for k, v in value.items()}
     if isinstance(value, list):
@@ -140,20 +193,60 @@ def with_environment(value):
 
     def one(m: re.Match) -> str:
         found = os.environ.get(m[1], m[2])
-        if found is None:
-            raise KeyError(f"environment variable {m[1]} is not set")
-        return found
+        return m[0] if found is None else found
 
     return re.sub(r"\$\{(\w+)(?::-([^}]*))?\}", one, value)
 
 
+def load_config(path: str) -> dict:
+    """A YAML file (or JSON, if YAML can't be read here) with environment variables filled in; it must hold a mapping, or nothing."""
+    raw = Path(path).read_text()
+    try:
+        import yaml
+    except ImportError:
+        value = json.loads(raw or "null")
+    else:
+        value = yaml.safe_load(raw)
+    if value is not None and not isinstance(value, dict):
+        raise ValueError(f"{path} holds a {type(value).__name__}, not a mapping")
+    return with_environment(value or {})
+
+
+def configured_month(config: dict, year: int = 2023, month: int = 7) -> tuple[int, int]:
+    """(year, month) of a configuration."""
+    found = int(config.get("year", year)), int(config.get("month", month))
+    if not 1 <= found[1] <= 12:
+        raise ValueError(f"a month is 1 to 12, not {found[1]}")
+    return found
+
+
+def run_manifest(folder: str, name: str, lists: dict[str, list[str]] | None = None, **values) -> str:
+    """Writes name.json with values, time, Python, platform and commit, and each list as its own text file; returns the path."""
+    at = Path(folder)
+    at.mkdir(parents=True, exist_ok=True)
+    try:
+        commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=True).stdout.strip()
+    except (OSError, subprocess.CalledProcessError):
+        commit = None
+    lists = {k: sorted(set(v)) for k, v in (lists or {}).items()}
+    for k, v in lists.items():
+        (at / f"{k}.txt").write_text("".join(f"{x}\n" for x in v))
+    made = {"created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"), "python": sys.version, "platform": platform.platform(), "git_commit": commit}
+    write_json(str(at / f"{name}.json"), made | lists | values)
+    return str(at / f"{name}.json")
+
+
+def listed(folder: str, name: str = "predictors_used") -> list[str] | None:
+    """A list that an earlier run wrote beside its manifest, or None."""
+    at = Path(folder) / f"{name}.txt"
+    return [x for x in at.read_text().splitlines() if x.strip()] if at.exists() else None
+
+
 def synthetic_wide(spark: SparkSession, accounts: int, first_day: str, days: int, seed: int = 42) -> DataFrame:
     """Wide interval rows of made-up accounts: 0.15 kWh, more in the mornings and evenings, a little noise.
 
     Every value depends on account, day and slot only, so the table is the same however it is partitioned.
     """
-    from voltloom.operators.intervals import INTERVALS
-
     base = spark.range(accounts * days).select(F.expr(f"id div {days}").alias("a"), F.expr(f"date_add(date'{first_day}', cast(id % {days} as int))").alias("d"))
 
     def kwh(slot: int):
@@ -161,7 +254,7 @@ def synthetic_wide(spark: SparkSession, accounts: int, first_day: str, days: int
         noise = (F.pmod(F.xxhash64("a", "d", F.lit(slot), F.lit(seed)), F.lit(60001)) / 60000 - 0.5) * 0.06
         return F.round(F.greatest(F.lit(0.02), F.lit(0.15 + 0.25 * (6 <= hour <= 8) + 0.5 * (17 <= hour <= 20)) + noise), 3)
 
-    made = [kwh(i).alias(c) for i, c in enumerate(INTERVALS[:48])]
+    made = [kwh(i).alias(c) for i, c in enumerate(intervals.INTERVALS[:48])]
     return base.select(
         F.format_string("606%02d", F.col("a") % 20).alias("ZIP_CODE"), F.lit("R").alias("DELIVERY_SERVICE_CLASS"), F.lit("Residential").alias("DELIVERY_SERVICE_NAME"),
         F.col("a").cast("string").alias("ACCOUNT_IDENTIFIER"), F.date_format("d", "MM/dd/yyyy").alias("INTERVAL_READING_DATE"), *made,
