@@ -195,42 +195,60 @@ def test_simhash_keeps_one_row_of_a_group(spark, most, monkeypatch):
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
     text = "the copied text of seven other words"
     docs = frame(spark, [(7, text, "a"), (3, text, "b"), (3, text, "a"), (None, text, "c"), (None, "own text here", "c"), (8, "quite other words about some new matter", "d"), (9, "something else entirely different", None), (10, None, "e"), (10, None, "e")])
+    found = []
     for source in (docs, docs.orderBy(F.desc("source"))):
         kept = simhash.deduplicate(source)
         assert kept.columns == docs.columns
-        rows = sorted(map(str, kept.collect()))
-        assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, "own text here"), (3, text), (8, "quite other words about some new matter"), (9, "something else entirely different"), (10, ""), (10, "")]
-        assert rows == sorted(map(str, simhash.deduplicate(docs).collect()))
+        rows = kept.collect()
+        found.append(sorted(map(str, rows)))
+        assert sorted((r.doc_id or -1, r.text or "") for r in rows) == [(-1, "own text here"), (3, text), (8, "quite other words about some new matter"), (9, "something else entirely different"), (10, ""), (10, "")]
+    assert found[0] == found[1]
 
 
-@pytest.mark.parametrize("n", [30, 64, 65, 900])
-def test_links_of_hot_runs_equal_brute_force(n):
+def made_signatures(n):
+    """Different signatures about one, near and far; and whether two of them are linked."""
     rng = np.random.default_rng(n)
     base = rng.integers(0, 2, simhash.BITS).astype(bool)
     bits = np.array([base ^ (rng.random(simhash.BITS) < rng.choice([0.02, 0.06, 0.5])) for _ in range(n)])
     bits = np.unique(np.concatenate([bits, [base, base ^ (np.arange(simhash.BITS) % 10 == 0)]]), axis=0)
-    sig = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-    rows = []
-    for w in range(simhash.BITS):
-        s = np.searchsorted(simhash.EDGES, w, side="right") - 1
-        lo, hi = simhash.EDGES[s : s + 2]
-        own = bits[:, lo:hi] & (np.arange(lo, hi) != w)
-        rows += [((w << 32) + int("".join(map(str, o.astype(int))), 2), a, b) for o, (a, b) in zip(own, sig.tolist())]
-    key, a, b = (np.array(x, np.int64) for x in zip(*sorted(rows)))
-    found = simhash.run_links(key, a, b, simhash.MOST)
-    near = (bits[:, None] != bits).sum(2) <= simhash.MOST
+    return bits, np.packbits(bits, axis=1, bitorder="little").view(np.int64), (bits[:, None] != bits).sum(2) <= simhash.MOST
+
+
+def check_links(found, sig, near):
+    """found: rows (a, b, c, d, links). Links equal those of all pairs, edges are a forest in each run that connects what all pairs connect."""
     links = {}
-    for x, y, _, _, k in found[found[:, 4] > 0].tolist():
-        links[x, y] = links.get((x, y), 0) + k
+    for x, y, _, _, k in found:
+        if k:
+            links[x, y] = links.get((x, y), 0) + k
     assert links == {tuple(s): int(k) - 1 for s, k in zip(sig.tolist(), near.sum(1)) if k > 1}
     place = {tuple(s): k for k, s in enumerate(sig.tolist())}
-    edges = [(place[x, y], place[u, v]) for x, y, u, v, k in found.tolist() if k == 0]
+    edges = [(place[x, y], place[u, v]) for x, y, u, v, k in found if k == 0]
     assert all(near[i, j] for i, j in edges) and len(edges) <= near.sum() // 2
     want = brute_groups([tuple(s) for s in sig.tolist()], simhash.MOST)
     root = list(range(len(sig)))
     for i, j in edges:
         root = [root[i] if r == root[j] else r for r in root]
-    assert len({(w, r) for w, r in zip(want, root)}) == len(set(want)) == len(set(root))
+    assert len(set(zip(want, root))) == len(set(want)) == len(set(root))
+
+
+@pytest.mark.parametrize("n", [30, 64, 65, 900])
+def test_links_of_hot_runs_equal_brute_force(n):
+    bits, sig, near = made_signatures(n)
+    rows = []
+    for w in range(simhash.BITS):
+        s = np.searchsorted(simhash.EDGES, w, side="right") - 1
+        lo, hi = simhash.EDGES[s : s + 2]
+        own = bits[:, lo:hi] & (np.arange(lo, hi) != w)
+        rows += [((w << 32) + int("".join(map(str, o.astype(int))), 2), a, b) for o, (a, b) in zip(own, sig.tolist())]
+    key, a, b = (np.array(x, np.int64) for x in zip(*sorted(rows)))
+    check_links(simhash.run_links(key, a, b, simhash.MOST).tolist(), sig, near)
+
+
+@pytest.mark.parametrize("hot", [20_000, 70, 9])
+def test_hot_runs_in_blocks_equal_brute_force(spark, hot):
+    bits, sig, near = made_signatures(400)
+    nodes = spark.createDataFrame(sig.tolist(), "a long, b long")
+    check_links([tuple(r) for r in simhash.pairs(nodes, hot=hot).collect()], sig, near)
 
 
 @pytest.mark.parametrize("most", [100_000, 0])

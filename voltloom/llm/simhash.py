@@ -14,7 +14,8 @@ of links equal those of comparing all pairs (tests compare them).
 
 Equal signatures are one node, so thousands of exact copies cost one row. Signatures that share a variant meet in one
 run of sorted rows. A run counts each node's links (a pair counts only in the first variant that it shares) and gives
-the edges of a spanning forest, never all its pairs. Groups are connected components, found by alternating large and
+the edges of a spanning forest, never all its pairs. A run of over HOT rows is split into blocks, and every two blocks meet
+in a task, so no task holds a hot run. Groups are connected components, found by alternating large and
 small stars.
 
 Defined results: null and empty (or blank) texts are in no group. Copies may repeat a doc_id or lack one.
@@ -44,6 +45,8 @@ EDGES = [s * BITS // SEGMENTS for s in range(SEGMENTS + 1)]
 WORD = re.compile(r"\w+")
 #: Votes of 512 bytes that a worker remembers; words at a time that vote; up to so many words 32 bits hold any sum.
 CACHE, CHUNK, NARROW = 80_000, 40_000, 20_000
+#: Rows of one variant that a task holds at most.
+HOT = 20_000
 #: Rows that drop out of a table are broadcast up to this number (of 24 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -158,70 +161,143 @@ def forest(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return use
 
 
+def product(w: int, left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of each node of left, then right; edges of a spanning forest) of what is linked first by variant w: pairs within left, or between left and right.
+
+    left, right: (node, half). Nodes that agree in the struck bit too share the segment's first variant, so in others only
+    nodes that differ in it are compared. Nodes are taken in blocks; no list of all pairs is ever there.
+    """
+    own, s = masks(), int(np.searchsorted(EDGES, w, side="right")) - 1
+    nodes = left if right is None else np.concatenate([left, right])
+    x, y = np.ascontiguousarray(nodes[:, 0]).view(np.uint64), np.ascontiguousarray(nodes[:, 1]).view(np.uint64)
+    links, edges = np.zeros(len(nodes), np.int64), np.zeros((0, 2), np.int64)
+    side = np.arange(len(nodes)) >= len(left)
+    struck = ((x if w < 64 else y) >> np.uint64(w % 64) & np.uint64(1)).astype(bool)
+    if w == EDGES[s]:
+        halves = [(np.flatnonzero(~side), np.flatnonzero(side) if right is not None else None)]
+    elif right is None:
+        halves = [(np.flatnonzero(~struck), np.flatnonzero(struck))]
+    else:
+        halves = [(np.flatnonzero(~side & (struck == k)), np.flatnonzero(side & (struck != k))) for k in (False, True)]
+    for one, two in halves:
+        step = max(1, 1_000_000 // max(1, len(one if two is None else two)))
+        for k in range(0, len(one), step):
+            i, j = one[k : k + step], one[k:] if two is None else two
+            ok = linked(x[i][:, None] ^ x[j], y[i][:, None] ^ y[j], w, most, own)
+            if two is None:
+                ok &= np.arange(len(i))[:, None] < np.arange(len(j))
+            u, v = np.nonzero(ok)
+            links += np.bincount(i[u], minlength=len(links)) + np.bincount(j[v], minlength=len(links))
+            more = np.concatenate([edges, np.stack([i[u], j[v]], 1)])
+            edges = more[forest(len(nodes), more[:, 0], more[:, 1])]
+    return links, edges, nodes
+
+
+def table_of(nodes: np.ndarray, links: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Rows (a, b, c, d, links): edges with links 0, then nodes with theirs."""
+    some = np.flatnonzero(links)
+    none = np.zeros((len(edges), 1), np.int64)
+    return np.concatenate([np.concatenate([nodes[edges[:, 0]], nodes[edges[:, 1]], none], 1), np.concatenate([nodes[some], nodes[some], links[some, None]], 1)])
+
+
 def run_links(key: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Rows (a, b, c, d, links) of all runs of equal keys: edges that connect what is linked, links 0; and for each node (a, b) its links there."""
-    a, b, own = a.view(np.uint64), b.view(np.uint64), masks()
+    nodes, own = np.stack([a, b], 1), masks()
+    x, y = a.view(np.uint64), b.view(np.uint64)
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))
-    one, two = [], []
-    out = [np.zeros((0, 5), np.int64)]
-    links = np.zeros(len(key), np.int64)
-
-    def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = linked(a[i] ^ a[j], b[i] ^ b[j], key[i] >> 32, most, own)
-        one.append(i[ok])
-        two.append(j[ok])
-
+    one, two, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for n in np.unique(size[size > 1]).tolist():
         starts = begin[size == n]
         if n <= 64:  # all runs of this size at once, in parts
             i, j = np.triu_indices(n, 1)
             for k in range(0, len(starts), max(1, 500_000 // len(i))):
                 base = starts[k : k + max(1, 500_000 // len(i)), None]
-                take((base + i).ravel(), (base + j).ravel())
+                u, v = (base + i).ravel(), (base + j).ravel()
+                ok = linked(x[u] ^ x[v], y[u] ^ y[v], key[u] >> 32, most, own)
+                one.append(u[ok])
+                two.append(v[ok])
             continue
-        for s in starts.tolist():
-            x, y = a[s : s + n], b[s : s + n]
-            joined = np.zeros((0, 2), np.int64)
-            step = max(1, 1_000_000 // n)
-            for k in range(0, n, step):  # a block of rows with all after them
-                ok = linked(x[k : k + step, None] ^ x[k:], y[k : k + step, None] ^ y[k:], int(key[s]) >> 32, most, own)
-                i, j = np.nonzero(ok)
-                i, j = i[i < j] + k, j[i < j] + k
-                links[s : s + n] += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-                i, j = np.concatenate([joined[:, 0], i]), np.concatenate([joined[:, 1], j])
-                use = forest(n, i, j)
-                joined = np.stack([i[use], j[use]], 1)
-            i, j = joined.T + s
-            out.append(np.stack([a[i].view(np.int64), b[i].view(np.int64), a[j].view(np.int64), b[j].view(np.int64), np.zeros(len(i), np.int64)], 1))
-    if one:
-        i, j = np.concatenate(one), np.concatenate(two)
-        links += np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
-        out.append(np.stack([a[i].view(np.int64), b[i].view(np.int64), a[j].view(np.int64), b[j].view(np.int64), np.zeros(len(i), np.int64)], 1))
-    some = np.flatnonzero(links)
-    x, y = a[some].view(np.int64), b[some].view(np.int64)
-    return np.concatenate([*out, np.stack([x, y, x, y, links[some]], 1)])
+        for k in starts.tolist():
+            links, edges, some = product(int(key[k]) >> 32, nodes[k : k + n], None, most)
+            out.append(table_of(some, links, edges))
+    i, j = np.concatenate(one), np.concatenate(two)
+    links = np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+    return np.concatenate([*out, table_of(nodes, links, np.stack([i, j], 1))])
+
+
+def give(e: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(5)], names=["a", "b", "c", "d", "links"])
 
 
-def pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b, c, d, links) as of `run_links`, over all variants of all nodes."""
+def pairs(nodes: DataFrame, most: int = MOST, hot: int = HOT) -> DataFrame:
+    """(a, b, c, d, links) as of `run_links`, over all variants of all nodes.
+
+    A task holds no run of over `hot` rows: it passes the rows on, and they meet again in blocks of `hot` rows, every two
+    blocks of a run in a group of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        give = lambda e: pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, i])) for i in range(5)], names=["a", "b", "c", "d", "links"])
+        held, key, at = [np.zeros(0, np.int64)] * 3, None, 0  # key: of the run that is passed on, of which `at` rows went by
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
-            if last:
-                yield give(run_links(*(x[:last] for x in held), most))
-                held = [x[last:] for x in held]
+            while len(held[0]):
+                if key is None:
+                    last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on in the next batch
+                    begin = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))
+                    big = begin[np.diff(np.append(begin, len(held[0]))) > hot]
+                    stop = int(big[0]) if len(big) else last
+                    if stop:
+                        yield give(run_links(*(x[:stop] for x in held), most))
+                        held = [x[stop:] for x in held]
+                    if not len(big):
+                        break
+                    key, at = held[0][0], 0
+                n = int(np.searchsorted(held[0], key, side="right"))
+                if n:
+                    yield give(np.stack([held[1][:n], held[2][:n], held[0][:n], np.arange(at, at + n), np.full(n, -1)], 1))
+                    held, at = [x[n:] for x in held], at + n
+                if len(held[0]):
+                    key = None
         if len(held[0]):
             yield give(run_links(*held, most))
 
     index = variants(nodes).repartition(F.col("key")).sortWithinPartitions("key")
-    return index.mapInArrow(run, "a long, b long, c long, d long, links long")
+    found = cut(index.mapInArrow(run, "a long, b long, c long, d long, links long"))
+    large = found.filter("links = -1")
+    return found.filter("links >= 0") if large.isEmpty() else found.filter("links >= 0").unionByName(cut(crossed(large, most, hot)))
+
+
+def crossed(large: DataFrame, most: int, hot: int) -> DataFrame:
+    """Links of runs of many rows (a, b, key c, place d): every two blocks of a run are one group."""
+    rows = large.select(F.col("c").alias("key"), F.expr(f"d div {hot}").alias("k"), "a", "b")
+    size = rows.groupBy("key").agg((F.max("k") + 1).alias("n"))
+    salted = rows.withColumn("salt", F.pmod(F.col("k"), F.lit(16))).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))), ["key", "salt"])
+    other = salted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    met = other.select("key", F.least("k", "o").alias("low"), F.greatest("k", "o").alias("high"), (F.col("k") > F.col("o")).cast("long").alias("side"), "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 6), np.int64)
+
+        def answer(g: np.ndarray) -> pa.RecordBatch:
+            left, right = g[g[:, 3] == 0][:, 4:], g[g[:, 3] == 1][:, 4:]
+            links, edges, nodes = product(int(g[0, 0]) >> 32, left, right if g[0, 1] < g[0, 2] else None, most)
+            return give(table_of(nodes, links, edges))
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(6)], 1)])
+            ends = np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(1)) + 1
+            for k, to in zip([0, *ends[:-1]], ends):
+                yield answer(held[k:to])
+            if len(ends):
+                held = held[ends[-1] :]
+        if len(held):
+            yield answer(held)
+
+    by = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return by.mapInArrow(run, "a long, b long, c long, d long, links long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +327,7 @@ def members(docs: DataFrame, most: int = MOST, id_col: str = "doc_id", text_col:
         raise ValueError(f"segments find all links of 0 to {MOST} bits, not of {most}")
     sigs = cut(signatures(docs, id_col, text_col).filter("a is not null"))
     nodes = cut(sigs.groupBy("a", "b").agg(F.count("*").alias("copies")))
-    found = cut(pairs(nodes.select("a", "b"), most))
+    found = pairs(nodes.select("a", "b"), most)
     links = found.filter("links > 0").groupBy("a", "b").agg(F.sum("links").alias("n_links"))
     roots = components(found.filter("links = 0").select(F.struct("a", "b").alias("u"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")).alias("v")))
     linked = roots.join(links.select(F.struct("a", "b").alias("node"), "n_links"), "node")
