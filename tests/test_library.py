@@ -6,6 +6,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,12 +159,31 @@ def test_multinomial_recovers_and_has_no_gradient(spark):
     assert np.abs(wls["coef"] - truth[0]).max() < 0.1 and wls["r2"] > 0.9
 
 
+def test_second_stage_run(spark, tmp_path):
+    from voltloom.plans import stage2_run
+
+    rng = np.random.default_rng(5)
+    rows = [(f"{i:012d}", *map(int, rng.multinomial(200, [0.5, 0.3, 0.2])), 200 if i % 9 else 3, float(x), float(2 * x), None) for i, x in enumerate(rng.normal(size=90))]
+    wide_ = spark.createDataFrame(rows, "GEOID string, cluster_0 long, cluster_1 long, cluster_2 long, total_household_days long, x double, twice double, none double")
+    fit = stage2_run.run(wide_, [0, 1, 2], str(tmp_path), command="test")
+    made = json.loads((tmp_path / "stage2_manifest.json").read_text())
+    assert made["places_total"] == 90 and made["places_with_enough"] == 80 and made["baseline_cluster"] == 0 and made["command"] == "test"
+    assert files.listed(str(tmp_path)) == ["x"] == made["predictors_used"] and made["predictors_dependent"] == ["twice"] and made["predictors_without_values"] == ["none"]
+    assert made["statistics"] == pytest.approx(fit.statistics()) and spark.read.parquet(str(tmp_path / "coefficients")).count() == 4
+    again = stage2_run.run(wide_.withColumn("more", F.col("x") ** 2), [0, 1, 2], str(tmp_path), reuse=True)
+    assert np.allclose(again.coef, fit.coef)
+    with pytest.raises(ValueError, match="nothing"):
+        stage2_run.run(wide_.limit(0), [0, 1, 2], str(tmp_path / "no"))
+
+
 def test_clusters(spark):
     rng = np.random.default_rng(1)
     rows = [([float(v) for v in rng.normal(c, 0.1, 4)],) for c in (0, 5, 10) for _ in range(30)]
     df = spark.createDataFrame(rows, "profile array<double>")
     best, table = clusters.search_k(df, range(2, 5))
     assert best == 3 and table.count() == 3
+    centers = sorted(r.centroid[0] for r in clusters.centroids(clusters.fit(df, 3), spark).collect())
+    assert np.allclose(centers, [0, 5, 10], atol=0.2)
     assert clusters.choose_k([(2, 5.0, 0.5), (3, 4.0, 0.5)]) == 3 and clusters.choose_k([(2, 5.0, None), (3, 5.0, None)]) == 2
     assert clusters.silhouette(df.withColumn("cluster", F.lit(0))) is None
 
@@ -232,7 +252,7 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     assert sorted((r.sample_month, r[intervals.INTERVALS[49]]) for r in rows if r.ACCOUNT_IDENTIFIER == "0") == [("202308", None), ("202309", None), ("202311", 0.6)]
     extra = {r.column_name: r for r in quality.dst_columns(df).collect()}
     assert {r.n_nulls for r in extra.values()} == {4} and quality.dst_days(df).count() == 1
-    done = {r.source_key[-10:]: r.n_rows for r in files.ingest(spark, str(raw), str(tmp_path / "long")).collect()}
+    done = {r.source_key[-10:]: r.n_rows for r in files.ingest(spark, str(raw), str(tmp_path / "long")).filter("status = 'success'").collect()}
     assert done == {"202308.csv": 96, "202309.csv": 96, "202311.csv": 100}
     long = spark.read.parquet(str(tmp_path / "long"))
     assert intervals.of_sample_month(long).count() == 96 and {"date", "hour", "weekday", "is_weekend"} < set(long.columns)  # all of August's, none of the others'
@@ -244,6 +264,13 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     made.drop(columns="ZIP_CODE").to_csv(raw / "d_202312.csv", index=False)
     with pytest.raises(ValueError, match="ZIP_CODE"):
         files.wide_csv(spark, str(raw))
+    with pytest.raises(ValueError, match="1 files"):
+        files.ingest(spark, str(raw), str(tmp_path / "again"))
+    (raw / "other.csv").write_text("a,b\n1,2\n")
+    report = {r.source_key[-9:]: (r.status, r.n_rows, r.error) for r in files.ingest(spark, str(raw), str(tmp_path / "again"), most_errors=2).collect()}
+    assert report["02312.csv"] == ("error", 0, "lacks ZIP_CODE") and report["other.csv"][0] == "error" and len(report) == 5
+    batch = files.map_batches(spark.range(25).coalesce(1), lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]), "n long", 10)
+    assert sorted(r.n for r in batch.collect()) == [5, 10, 10]
     with pytest.raises(ValueError, match="header"):
         (tmp_path / "no").mkdir()
         (tmp_path / "no" / "x.csv").write_text("")
@@ -272,6 +299,20 @@ def test_streaming_hours(spark, tmp_path):
     assert got.count() >= 4 and {r.kwh_hour for r in got.collect()} == {2.0}
 
 
+def test_streaming_prices_and_repeats(spark, tmp_path):
+    rows = [(dt.datetime(2023, 8, 1, h, m), float(h)) for h in range(4) for m in range(0, 60, 5)]
+    prices = spark.createDataFrame(rows, "datetime_local timestamp, price_cents double")
+    prices.write.parquet(str(tmp_path / "p"))
+    tables.run_once(tables.hourly_prices(tables.readings(spark, str(tmp_path / "p"), prices.schema), "1 hour"), str(tmp_path / "po"), str(tmp_path / "pc"))
+    got = {r.datetime_local.hour: (r.price_cents, r.n_intervals) for r in spark.read.parquet(str(tmp_path / "po")).collect()}
+    assert len(got) >= 2 and all(v == (float(h), 12) for h, v in got.items())
+    twice = [("a", dt.datetime(2023, 8, 1, 1), 1.0), ("a", dt.datetime(2023, 8, 1, 1), 1.0), ("b", dt.datetime(2023, 8, 1, 1), 2.0)]
+    df = spark.createDataFrame(twice, "account_identifier string, datetime timestamp, kwh double")
+    df.write.parquet(str(tmp_path / "r"))
+    tables.run_once(tables.first_readings(tables.readings(spark, str(tmp_path / "r"), df.schema, 1)), str(tmp_path / "ro"), str(tmp_path / "rc"))
+    assert sorted(r.account_identifier for r in spark.read.parquet(str(tmp_path / "ro")).collect()) == ["a", "b"]
+
+
 def test_kmeans_queries_do_the_whole_job(spark, small, monkeypatch):
     from voltloom.plans import registry
 

@@ -27,6 +27,27 @@ def zip4_normalise(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", strings.zip4(raw).alias("zip4"))
 
 
+@query("""WITH z AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'zip ' || s_suppkey WHEN 1 THEN '(' || s_suppkey || ')-4' ELSE 'none' END AS raw FROM supplier), d AS (SELECT s_suppkey, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM z)
+    SELECT s_suppkey, CASE WHEN d = '' THEN NULL WHEN length(d) < 5 THEN lpad(d, 5, '0') ELSE d END AS zip FROM d""")
+def zip_digits(spark, sf_dir):
+    k = F.col("s_suppkey")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("zip "), k)).when(k % 3 == 1, F.concat(F.lit("("), k, F.lit(")-4"))).otherwise("none")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", strings.digits_zfill(raw, 5).alias("zip"))
+
+
+@query("""WITH z AS (SELECT o_orderkey, ' ' || lpad(CAST(o_custkey AS VARCHAR), 10 + CAST(o_orderkey % 6 AS INTEGER), '1') || ' ' AS raw FROM orders)
+    SELECT o_orderkey, CASE WHEN length(trim(raw)) >= 12 THEN substr(trim(raw), 1, 12) END AS block_group FROM z""")
+def block_groups(spark, sf_dir):
+    raw = F.concat(F.lit(" "), F.lpad(F.col("o_custkey").cast("string"), (10 + F.col("o_orderkey") % 6).cast("int"), F.lit("1")), F.lit(" "))
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.block_group(raw).alias("block_group"))
+
+
+@query("SELECT event_id, date_diff('hour', TIMESTAMP '2024-01-01', ts) - CASE WHEN ts < TIMESTAMP '2024-01-01' AND date_trunc('hour', ts) <> ts THEN -1 ELSE 0 END AS hours FROM events")
+def hours_apart(spark, sf_dir):
+    start = F.lit("2024-01-01").cast("date").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", times.hours_between(start, F.col("ts")).alias("hours"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y%m') END AS month FROM orders")
 def yyyymm_extract(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -108,6 +129,15 @@ def census_predictors(spark, sf_dir):
     return rounded(census.build(raw, census.FEATURES))
 
 
+@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 4) AS balance FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+    SELECT k, customers, balance FROM a LEFT JOIN b USING (k)""")
+def census_attached(spark, sf_dir):
+    """Facts of some places joined to features of all."""
+    own = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    more = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("balance"))
+    return rounded(census.attach(own, more, "k"))
+
+
 def _walk(spark, sf_dir):
     """Suppliers' nations as zip codes, suppliers as block groups; nation 0 is unknown."""
     return table(spark, sf_dir, "supplier").filter("s_nationkey > 0").select(strings.zfill(F.col("s_nationkey"), 5).alias("zip_code"), strings.zfill(F.col("s_suppkey") % 50, 12).alias("GEOID")).distinct()
@@ -151,6 +181,11 @@ def bg_cluster_counts(spark, sf_dir):
     return _wide(spark, sf_dir)
 
 
+@query(f'{_WALK} SELECT "GEOID", {_COUNTS}, count(*) AS total_household_days FROM j GROUP BY 1 HAVING count(*) >= 50')
+def bg_with_enough(spark, sf_dir):
+    return stage2.enough(_wide(spark, sf_dir), 50)
+
+
 _SHARES = f'{_WALK}, s AS (SELECT "GEOID", cluster, n, n / sum(n) OVER (PARTITION BY "GEOID") AS share FROM (SELECT "GEOID", cluster, count(*) AS n FROM j GROUP BY 1, 2))'
 
 
@@ -256,7 +291,21 @@ def multinomial_fit(spark, sf_dir):
     return stage2.coefficients(stage2.multinomial(own, names, list(K), stage2.baseline(own, list(K))), spark)
 
 
-@query()
+def _fit_sql(kind, weight):
+    """Least squares on an intercept and two predictors, by the inverse of the 3 x 3 matrix of normal equations."""
+    return f"""SELECT cluster, '{kind}' AS kind, unnest(['(Intercept)', 'balance', 'mix']) AS predictor, round(unnest([c0, c1, c2]), 4) AS coefficient,
+        round(unnest([sqrt(greatest(0, i00 * s2)), sqrt(greatest(0, i11 * s2)), sqrt(greatest(0, i22 * s2))]), 4) AS std_err, round(1 - rss / (syy - sy * sy / s), 4) AS r_squared, n AS nobs
+        FROM (SELECT *, rss / greatest(n - 3, 1) AS s2 FROM (SELECT *, greatest(0, syy - c0 * sy - c1 * say - c2 * sby) AS rss
+        FROM (SELECT *, i00 * sy + i01 * say + i02 * sby AS c0, i01 * sy + i11 * say + i12 * sby AS c1, i02 * sy + i12 * say + i22 * sby AS c2
+        FROM (SELECT *, (saa * sbb - sab * sab) / d AS i00, (sb * sab - sa * sbb) / d AS i01, (sa * sab - sb * saa) / d AS i02, (s * sbb - sb * sb) / d AS i11, (sa * sb - s * sab) / d AS i12, (s * saa - sa * sa) / d AS i22
+        FROM (SELECT *, s * (saa * sbb - sab * sab) - sa * (sa * sbb - sab * sb) + sb * (sa * sab - saa * sb) AS d
+        FROM (SELECT cluster, count(*) AS n, sum(w) AS s, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * a * a) AS saa, sum(w * a * b) AS sab, sum(w * b * b) AS sbb, sum(w * y) AS sy, sum(w * a * y) AS say, sum(w * b * y) AS sby, sum(w * y * y) AS syy
+        FROM (SELECT *, {weight} AS w FROM l) GROUP BY cluster))))))"""
+
+
+@query(f"""{_WALK}, k AS (SELECT "GEOID", {_COUNTS}, count(*) AS n FROM j GROUP BY 1), x AS (SELECT lpad(CAST(s_suppkey % 50 AS VARCHAR), 12, '0') AS "GEOID", avg(s_acctbal) AS a, avg(CAST(s_suppkey % 7 AS DOUBLE)) AS b FROM supplier GROUP BY 1),
+    m AS (SELECT k.*, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS b FROM k JOIN x USING ("GEOID")),
+    l AS ({" UNION ALL ".join(f"SELECT {k} AS cluster, CAST(n AS DOUBLE) AS total, a, b, ln((cluster_{k} + 0.5) / (cluster_0 + 0.5)) AS y FROM m" for k in K[1:])}) {_fit_sql('wls', 'total')} UNION ALL {_fit_sql('ols', '1.0')}""")
 def log_ratio_regression(spark, sf_dir):
     long = stage2.log_ratios(_model(spark, sf_dir), list(K), 0).persist()
     rows = []
@@ -267,7 +316,7 @@ def log_ratio_regression(spark, sf_dir):
                 rows += [(k, kind, name, float(c), float(s), float(fit["r2"]), int(fit["n"])) for name, c, s in zip(["(Intercept)", "balance", "mix"], fit["coef"], fit["se"])]
     finally:
         long.unpersist()
-    return spark.createDataFrame(rows, "cluster int, kind string, predictor string, coefficient double, std_err double, r_squared double, nobs long")
+    return rounded(spark.createDataFrame(rows, "cluster int, kind string, predictor string, coefficient double, std_err double, r_squared double, nobs long"))
 
 
 @query("""WITH m AS (SELECT strftime(o_orderdate + INTERVAL 10 YEAR, '%Y%m') AS month, o_orderkey * 1000 AS bytes FROM orders)
@@ -275,3 +324,12 @@ def log_ratio_regression(spark, sf_dir):
 def storage_report(spark, sf_dir):
     listed = table(spark, sf_dir, "orders").select(F.concat(F.lit("/data/usage_"), F.date_format(F.add_months("o_orderdate", 120), "yyyyMM"), F.lit(".csv")).alias("path"), (F.col("o_orderkey") * 1000).alias("bytes"))
     return rounded(files.storage_by_month(listed))
+
+
+@query("""WITH f AS (SELECT '/data/' || CASE WHEN o_orderkey % 4 = 0 THEN 'usage' ELSE 'usage_' || strftime(o_orderdate + INTERVAL 10 YEAR, '%Y%m') END || '_' || o_orderkey % 7 || '.csv' AS path, CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate + INTERVAL 10 YEAR, '%Y%m') END AS month FROM orders)
+    SELECT month, month || '/' || split_part(path, '/', -1) AS key, count(*) AS n FROM f WHERE month BETWEEN '200501' AND '200712' GROUP BY ALL""")
+def files_of_months(spark, sf_dir):
+    month = F.date_format(F.add_months("o_orderdate", 120), "yyyyMM")
+    name = F.when(F.col("o_orderkey") % 4 == 0, "usage").otherwise(F.concat(F.lit("usage_"), month))
+    listed = table(spark, sf_dir, "orders").select(F.concat(F.lit("/data/"), name, F.lit("_"), F.col("o_orderkey") % 7, F.lit(".csv")).alias("path"))
+    return files.with_month(listed, "200501", "200712").groupBy("month", "key").agg(F.count("*").alias("n"))

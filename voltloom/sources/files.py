@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +46,14 @@ def headers(spark: SparkSession, paths: str | list[str], recursive: bool = True)
     return [(r.line, r.paths) for r in by.orderBy("line").collect()]  # the listing, which Spark's driver holds anyway
 
 
-def csv_by_name(spark: SparkSession, paths: str | list[str], types: dict[str, str] | None = None, sep: str = ",", strict: bool = False, recursive: bool = True) -> DataFrame:
+def csv_by_name(spark: SparkSession, paths: str | list[str], types: dict[str, str] | None = None, sep: str = ",", strict: bool = False, recursive: bool = True, known: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """CSV with a header. Columns in types are cast by name, where they are there; others stay text.
 
     Every file is read by its own header, so columns may be in another order or missing (null) in some files.
-    Values that don't fit become null, or raise if strict is set.
+    Values that don't fit become null, or raise if strict is set. known: what headers() found, if that is there already.
     """
     tables = []
-    for line, some in headers(spark, paths, recursive):
+    for line, some in headers(spark, paths, recursive) if known is None else known:
         names = [n.strip() for n in next(csv.reader([line], delimiter=sep))]
         reader = spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST" if strict else "PERMISSIVE")
         own = reader.schema(", ".join(f"`{n}` string" for n in names)).csv(some)
@@ -74,26 +75,63 @@ def tsv(spark: SparkSession, path: str) -> DataFrame:
     return csv_by_name(spark, path, sep="\t")
 
 
-def wide_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def wide_csv(spark: SparkSession, paths: str | list[str], refused: list[tuple[str, str]] | None = None) -> DataFrame:
     """Wide interval files of any header: id columns, 50 intervals (null where a file lacks one), source key, and month (from the file name).
 
-    A file without one of the id columns raises.
+    A file without one of the id columns, or without any interval, raises; where a list `refused` is given, it is left out
+    and added there with the reason.
     """
-    df = csv_by_name(spark, paths, {c: "double" for c in intervals.INTERVALS})
+    known = []
     for line, some in headers(spark, paths):
-        if missing := set(intervals.IDS) - {n.strip() for n in next(csv.reader([line]))}:
-            raise ValueError(f"{some[0]} lacks {sorted(missing)}")
+        names = {n.strip() for n in next(csv.reader([line]))}
+        missing = sorted(set(intervals.IDS) - names) or ([] if names & set(intervals.INTERVALS) else ["intervals"])
+        if not missing:
+            known.append((line, some))
+        elif refused is None:
+            raise ValueError(f"{some[0]} lacks {missing}")
+        else:
+            refused += [(path, f"lacks {', '.join(missing)}") for path in some]
+    df = csv_by_name(spark, paths, {c: "double" for c in intervals.INTERVALS}, known=known)
     own = intervals.canonical(df, [*intervals.IDS, "source_key"])
     own = df.withColumns({c: F.lit(None).cast("double") for c in intervals.INTERVALS if c not in df.columns}).select(*own.columns[:-1], *intervals.INTERVALS, "source_key")
     return own.withColumn("sample_month", strings.year_month(F.element_at(F.split("source_key", "/"), -1)))
 
 
-def ingest(spark: SparkSession, paths: str | list[str], to: str, day_mode: str = "calendar") -> DataFrame:
-    """Wide CSV files to one long interval table with time columns, written as Parquet; returns (source_key, n_rows) of every file."""
-    long = intervals.wide_to_long(wide_csv(spark, paths), ("source_key", "sample_month"))
+def ingest(spark: SparkSession, paths: str | list[str], to: str, day_mode: str = "calendar", most_errors: int = 0) -> DataFrame:
+    """Wide CSV files to one long interval table with time columns, written as Parquet; returns (source_key, status, n_rows, error) of every file.
+
+    Files that can't be interval files are left out with the status error, up to most_errors; more raise.
+    """
+    refused: list[tuple[str, str]] = []
+    wide = wide_csv(spark, paths, refused)
+    if len(refused) > most_errors:
+        raise ValueError(f"{len(refused)} files can't be read, {most_errors} may: {refused[0]}")
+    long = intervals.wide_to_long(wide, ("source_key", "sample_month"))
     own = intervals.add_time_columns(long, day_mode).select("zip_code", "account_identifier", "datetime", "kwh", "date", "hour", "weekday", "is_weekend", "sample_month", "source_key")
     write_parquet(own, to, mode="overwrite")
-    return spark.read.parquet(to).groupBy("source_key").agg(F.count("*").alias("n_rows"))
+    done = spark.read.parquet(to).groupBy("source_key").agg(F.count("*").alias("n_rows"))
+    done = done.select("source_key", F.lit("success").alias("status"), "n_rows", F.lit(None).cast("string").alias("error"))
+    return done.unionByName(spark.createDataFrame([(p, "error", 0, e) for p, e in refused], "source_key string, status string, n_rows long, error string"))
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 50_000) -> DataFrame:
+    """f over Arrow batches of `rows` rows each (the last of a partition may have fewer), on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            while n + batch.num_rows >= rows:
+                held.append(batch.slice(0, rows - n))
+                yield from map(f, pa.Table.from_batches(held).combine_chunks().to_batches())
+                batch, held, n = batch.slice(rows - n), [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield from map(f, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return df.mapInArrow(run, schema)
 
 
 def parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
