@@ -64,7 +64,7 @@ def part_of(column: str, field: str) -> F.Column:
 
 def hosts(failed: DataFrame) -> DataFrame:
     """(host, n, failed, rate, shrunk, rejected) from (host, fails)."""
-    by = failed.groupBy("host").agg(F.count("*").alias("n"), F.count_if("fails").alias("failed"))
+    by = cut(failed.groupBy("host").agg(F.count("*").alias("n"), F.count_if("fails").alias("failed")))  # texts are judged once for it and its prior
     by = by.withColumn("rate", F.col("failed") / F.col("n"))
     prior = by.agg(F.avg("rate").alias("m"), F.var_samp("rate").alias("v"))
     strength = F.when(F.coalesce(F.col("v"), F.lit(0.0)) < 1e-12, F.lit(1000.0)).otherwise(F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1)))
