@@ -43,11 +43,11 @@ MOST = 2 * SEGMENTS - 1
 #: First bit of each segment, and the end.
 EDGES = [s * BITS // SEGMENTS for s in range(SEGMENTS + 1)]
 WORD = re.compile(r"\w+")
-#: Votes of 512 bytes that a worker remembers; words at a time that vote; up to so many words 32 bits hold any sum.
-CACHE, CHUNK, NARROW = 80_000, 40_000, 20_000
+#: Votes of 512 bytes that a worker remembers; words at a time that vote, and bytes of text; up to so many words 32 bits hold any sum.
+CACHE, CHUNK, TEXT, NARROW = 60_000, 20_000, 1 << 20, 20_000
 #: Rows of one variant that a task holds at most.
 HOT = 20_000
-#: Rows that drop out of a table are broadcast up to this number (of 24 bytes each).
+#: Rows that drop out of a table are broadcast up to this number (of about 170 bytes each there).
 BROADCAST_ROWS = 500_000
 
 
@@ -61,13 +61,17 @@ _WEIGHT = np.maximum((np.arange(65_536) + 0.5) / 65_536, 2.0**-13) ** -2.0
 
 def votes(words: list[str]) -> np.ndarray:
     """(word, bit): each word's whole-number vote on each bit."""
-    seed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-    x = seed[:, None] + np.arange(1, BITS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x = (x ^ (x >> np.uint64(31))).view(np.uint32)  # two bits' 32 random bits
-    weight = _WEIGHT.astype(np.int32)[x >> np.uint32(16)]
-    return np.where(x & np.uint32(1), weight, -weight)
+    out, weights = np.empty((len(words), BITS), np.int32), _WEIGHT.astype(np.int32)
+    step = np.arange(1, BITS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(words), 4096):
+        own = words[at : at + 4096]
+        x = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own), np.uint64, len(own))[:, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(31))).view(np.uint32)  # two bits' 32 random bits
+        weight = weights[x >> np.uint32(16)]
+        out[at : at + 4096] = np.where(x & np.uint32(1), weight, -weight)
+    return out
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +80,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, table = WordIds(CACHE), np.zeros((0, BITS), np.int32)
         for whole in batches:
-            for part in slices(whole):
+            for part in slices(whole, most=TEXT):
                 found, lens = [], np.zeros(part.num_rows, np.int64)
                 for j, text in enumerate(part.column("text").to_pylist()):
                     own = features(text) if text else ()
