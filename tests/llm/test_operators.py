@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,31 @@ def test_simhash_keeps_one_row_of_a_group(spark, most, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_simhash_long_texts_vote_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = simhash.signatures(docs)  # what a worker runs, to be run here
+
+    def signed(texts):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "h": list(range(len(texts))), "text": texts})
+        return [(r["a"], r["b"]) for out in run(iter([batch])) for r in out.to_pylist()]
+
+    texts = [" ".join(f"Word{k % 2500:x} É{k}" for k in range(3000)), "!?; " * 9, " \n " * 9, None, "", "short"]
+    want = signed(texts)
+    assert want[2] == want[3] == want[4] == (None, None) != want[1]
+    monkeypatch.setattr(simhash, "LONG", 10, raising=False)
+    monkeypatch.setattr(simhash, "CHUNK", 700)
+    assert signed(texts) == want
+    monkeypatch.undo()
+    text = " ".join(f"w{k:x}" for k in range(300_000))
+    tracemalloc.start()
+    try:
+        signed([text])
+        assert tracemalloc.get_traced_memory()[1] < 100e6  # 512 bytes for every different word were 154 MB, several times over
+    finally:
+        tracemalloc.stop()
+
+
 def made_signatures(n):
     """Different signatures about one, near and far; and whether two of them are linked."""
     rng = np.random.default_rng(n)

@@ -27,7 +27,8 @@ untouched. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ EDGES = [s * BITS // SEGMENTS for s in range(SEGMENTS + 1)]
 WORD = re.compile(r"\w+")
 #: Votes of 512 bytes that a worker remembers; words at a time that vote, and bytes of text; up to so many words 32 bits hold any sum.
 CACHE, CHUNK, TEXT, NARROW = 60_000, 20_000, 1 << 20, 20_000
+#: Texts of more characters vote by themselves, in parts, from the hashes of their words: 8 bytes a word, not 512.
+LONG = 1 << 18
 #: Rows of one variant that a task holds at most.
 HOT = 20_000
 #: Rows that drop out of a table are broadcast up to this number (of about 170 bytes each there).
@@ -59,13 +62,16 @@ def features(text: str) -> set[str]:
 _WEIGHT = np.maximum((np.arange(65_536) + 0.5) / 65_536, 2.0**-13) ** -2.0
 
 
-def votes(words: list[str]) -> np.ndarray:
-    """(word, bit): each word's whole-number vote on each bit."""
-    out, weights = np.empty((len(words), BITS), np.int32), _WEIGHT.astype(np.int32)
+def hashes(words: Collection[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def votes(hashed: np.ndarray) -> np.ndarray:
+    """(word, bit): the whole-number vote on each bit of each word, of which the hash is given."""
+    out, weights = np.empty((len(hashed), BITS), np.int32), _WEIGHT.astype(np.int32)
     step = np.arange(1, BITS // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(words), 4096):
-        own = words[at : at + 4096]
-        x = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own), np.uint64, len(own))[:, None] + step
+    for at in range(0, len(hashed), 4096):
+        x = hashed[at : at + 4096, None] + step
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = (x ^ (x >> np.uint64(31))).view(np.uint32)  # two bits' 32 random bits
@@ -74,6 +80,24 @@ def votes(words: list[str]) -> np.ndarray:
     return out
 
 
+def long_signs(text: str) -> np.ndarray | None:
+    """The signs of a long text's votes, None for a blank one. Words are told apart by their 64-bit hashes."""
+    seen, fresh, n = np.zeros(0, np.uint64), [], 0
+    found = WORD.finditer(text.lower())
+    while block := {m[0] for m in islice(found, CHUNK)}:
+        fresh.append(hashes(block))
+        n += len(block)
+        if n > max(len(seen), 1_000_000):
+            seen, fresh, n = np.unique(np.concatenate([seen, *fresh])), [], 0
+    seen = np.unique(np.concatenate([seen, *fresh]))
+    if not len(seen):
+        own = features(text)
+        if not own:
+            return None
+        seen = hashes(own)
+    return sum(votes(seen[at : at + CHUNK]).sum(axis=0, dtype=np.int64) for at in range(0, len(seen), CHUNK)) > 0
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, a, b): hash of the text and the two halves of its signature, null for null and blank texts."""
 
@@ -81,13 +105,16 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ids, table = WordIds(CACHE), np.zeros((0, BITS), np.int32)
         for whole in batches:
             for part in slices(whole, most=TEXT):
-                found, lens = [], np.zeros(part.num_rows, np.int64)
+                found, lens, alone = [], np.zeros(part.num_rows, np.int64), {}
                 for j, text in enumerate(part.column("text").to_pylist()):
+                    if text and len(text) > LONG:
+                        alone[j] = long_signs(text)
+                        continue
                     own = features(text) if text else ()
                     lens[j] = len(own)
                     found.append(np.fromiter(map(ids.__getitem__, own), np.int32, len(own)))
                 if ids.fresh:
-                    table = np.concatenate([table, votes(ids.fresh)])
+                    table = np.concatenate([table, votes(hashes(ids.fresh))])
                 x = np.concatenate(found) if found else np.zeros(0, np.int32)
                 some = np.flatnonzero(lens)
                 sig = np.zeros((len(lens), 2), np.int64)
@@ -103,6 +130,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     sig[some] = np.packbits(up, axis=1, bitorder="little").view(np.int64)
                 table = table[: ids.settle()]
                 none = lens == 0
+                for j, up in alone.items():
+                    if up is not None:
+                        sig[j], none[j] = np.packbits(up, bitorder="little").view(np.int64), False
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(sig[:, 0], mask=none), pa.array(sig[:, 1], mask=none)], names=["doc_id", "h", "a", "b"])
 
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
