@@ -534,6 +534,16 @@ def test_scores_at_the_limit_are_kept(spark):
     assert zclass.keep(docs, model).count() == 3
 
 
+def test_classifier_gathers_each_labelled_text_once(spark, monkeypatch):
+    rows = [(1, "a good text about the old river"), *[(2, "buy cheap pills")] * 300, (3, "buy cheap pills"), *[(4, "another good text")] * 200, (4, "a text that shares its id")]
+    docs, sizes = spark.createDataFrame(rows, "doc_id long, text string"), []
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, quality int")
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: sizes.append(len(got := collect(df))) or got)
+    assert sorted(zclass.sample(docs, labels)) == sorted([("a good text about the old river", 1), ("buy cheap pills", 0), ("another good text", 1), ("a text that shares its id", 1)])
+    assert max(sizes) == 4  # not one row for each copy
+
+
 @pytest.mark.parametrize("bad", [["buy cheap pills now click here win money fast " * 3], ["click win buy pills " * 2000] * 40 + ["short"], ["x"]])
 def test_classifier_learns_from_few_and_odd_rows(spark, bad):
     words = "the house and dog of a street in town near old river with many trees people walk there every day".split()

@@ -112,8 +112,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: in
     slim = own.select("i", "h", F.expr(f"length(t) not between {LEAST_CHARS} and {chars}").alias("odd")).join(marks, "i")
     chosen = [slim.filter(F.col("q") == q).groupBy("odd", "h", "q").agg(F.min("i").alias("i")).orderBy("odd", "h", "i").limit(most).select("i", "h", "q") for q in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])
-    rows = own.join(F.broadcast(ids), ["i", "h"]).select("h", "i", F.substring("t", 1, chars).alias("t"), "q").collect()  # 2 * most rows, and copies of them under one doc_id
-    return [(r.t, int(r.q)) for r in sorted({(r.h, r.q): r for r in rows}.values(), key=lambda r: (r.h, r.i))]
+    found = own.join(F.broadcast(ids), ["i", "h"]).select("h", "i", F.substring("t", 1, chars).alias("t"), "q")
+    rows = found.groupBy("h", "i", "q").agg(F.min("t").alias("t")).collect()  # 2 * most rows, however many copies share a doc_id
+    return [(r.t, int(r.q)) for r in sorted(rows, key=lambda r: (r.h, r.i))]
 
 
 def scored(docs: DataFrame, model: Model, text_col: str, extra: list[str], into: str) -> DataFrame:
