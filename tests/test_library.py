@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voltloom.functions import numbers, strings, times
 from voltloom.operators import census, clusters, geography, intervals, quality, reports, sampling, sets, stage2, tariffs
+from voltloom.plans import registry
 from voltloom.sources import files
 from voltloom.streaming import tables
 
@@ -159,6 +161,20 @@ def test_multinomial_recovers_and_has_no_gradient(spark):
     assert np.abs(wls["coef"] - truth[0]).max() < 0.1 and wls["r2"] > 0.9
 
 
+@pytest.mark.parametrize(("nations", "balance", "n"), [([1], "s_suppkey * 7.5", 1), ([1, 2, 3, 4], "5.0", 4), ([1, 2, 3, 4, 5], "s_suppkey * s_suppkey % 37.0", 5)])
+def test_log_ratio_regression_where_nothing_is_determined(spark, tmp_path, nations, balance, n):
+    ids = spark.range(400).select(F.col("id"), F.element_at(F.array(*map(F.lit, nations)), (F.col("id") % len(nations) + 1).cast("int")).alias("nation"))
+    ids.selectExpr("id as c_custkey", "nation as c_nationkey").filter("c_custkey % 3 < 2 or c_nationkey > 2").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    ids.selectExpr("id as s_suppkey", "nation as s_nationkey").filter("s_suppkey % 50 >= s_nationkey").selectExpr("*", f"cast({balance} as double) as s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["log_ratio_regression"]).fetchall()
+    got = registry.queries()["log_ratio_regression"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(got) == 24 and {r.nobs for r in got} == {n}
+    assert {r.coefficient is None or r.coefficient != r.coefficient for r in got} == {n < 5}  # null or NaN, as in SQL
+
+
 def test_second_stage_run(spark, tmp_path):
     from voltloom.plans import stage2_run
 

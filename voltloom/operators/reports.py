@@ -111,3 +111,11 @@ def standardised(df: DataFrame, columns: list[str], least: float = 1e-10) -> Dat
     out = df.crossJoin(one)  # one row
     scaled = {c: F.when(F.col(f"_s_{c}") > least, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.col(c)) for c in columns}
     return out.withColumns(scaled).select(*df.columns)
+
+
+def z_scored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """As standardised(), but of columns without any spread nothing is left: null where there is a single value, NaN where all are the same."""
+    one = df.agg(*[x for c in columns for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
+    off = {c: F.col(c) - F.col(f"_m_{c}") for c in columns}
+    scaled = {c: F.when(F.col(f"_s_{c}") == 0, off[c] * float("inf")).otherwise(off[c] / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))) for c in columns}
+    return df.crossJoin(one).withColumns(scaled).select(*df.columns)  # one row

@@ -278,10 +278,14 @@ def kmeans_search(spark, sf_dir):
     return clusters.search_k(table(spark, sf_dir, "embeddings").select("embedding"), range(2, 5), vector_col="embedding")[1]
 
 
-def _model(spark, sf_dir):
+def _predicted(spark, sf_dir):
     wide = _wide(spark, sf_dir)
     x = table(spark, sf_dir, "supplier").groupBy(strings.zfill(F.col("s_suppkey") % 50, 12).alias("GEOID")).agg(F.avg("s_acctbal").alias("balance"), F.avg((F.col("s_suppkey") % 7).cast("double")).alias("mix"))
-    return reports.standardised(wide.join(x, "GEOID"), ["balance", "mix"])
+    return wide.join(x, "GEOID")
+
+
+def _model(spark, sf_dir):
+    return reports.standardised(_predicted(spark, sf_dir), ["balance", "mix"])
 
 
 @query()
@@ -307,15 +311,8 @@ def _fit_sql(kind, weight):
     m AS (SELECT k.*, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS b FROM k JOIN x USING ("GEOID")),
     l AS ({" UNION ALL ".join(f"SELECT {k} AS cluster, CAST(n AS DOUBLE) AS total, a, b, ln((cluster_{k} + 0.5) / (cluster_0 + 0.5)) AS y FROM m" for k in K[1:])}) {_fit_sql('wls', 'total')} UNION ALL {_fit_sql('ols', '1.0')}""")
 def log_ratio_regression(spark, sf_dir):
-    long = stage2.log_ratios(_model(spark, sf_dir), list(K), 0).persist()
-    rows = []
-    try:
-        for k in K[1:]:
-            for kind, weight in (("wls", "total"), ("ols", None)):
-                fit = stage2.weighted_regression(long.filter(F.col("cluster") == k), "log_ratio", ["balance", "mix"], weight)
-                rows += [(k, kind, name, float(c), float(s), float(fit["r2"]), int(fit["n"])) for name, c, s in zip(["(Intercept)", "balance", "mix"], fit["coef"], fit["se"])]
-    finally:
-        long.unpersist()
+    long = stage2.log_ratios(reports.z_scored(_predicted(spark, sf_dir), ["balance", "mix"]), list(K), 0)
+    rows = stage2.plane_regressions(long, "log_ratio", "balance", "mix", {"wls": "total", "ols": None}, "cluster")
     return rounded(spark.createDataFrame(rows, "cluster int, kind string, predictor string, coefficient double, std_err double, r_squared double, nobs long"))
 
 
