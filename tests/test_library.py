@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voltloom.functions import numbers, strings, times
 from voltloom.operators import census, clusters, geography, intervals, quality, reports, sampling, sets, stage2, tariffs
-from voltloom.plans import registry
+from voltloom.plans import interval_queries, registry
 from voltloom.sources import files
 from voltloom.streaming import tables
 
@@ -204,6 +204,28 @@ def test_clusters(spark):
     assert clusters.silhouette(df.withColumn("cluster", F.lit(0))) is None
 
 
+def test_complete_months_are_kept(spark):
+    rng = np.random.default_rng(5)
+    rows = [(a, dt.date(2024, m, 1) + dt.timedelta(int(d)), int(k)) for a in ("a", "b", "c", None) for m in (1, 2, 3) for d in rng.permutation(29)[: rng.integers(22, 30)] for k in range(rng.choice([1, 2, 3], p=[0.03, 0.9, 0.07]))]
+    long = spark.createDataFrame([*rows, ("a", None, 1)], "account_identifier string, date date, k int")
+    for days, least in ((2, 0.85), (2, 0.0), (3, 0.01), (1, 1.0)):
+        want = long.withColumn("sample_month", F.date_format("date", "yyyyMM")).join(quality.complete_months(long, days, least), ["sample_month", "account_identifier"], "left_semi")
+        got = quality.keep_complete_months(long, days, least)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 0 < quality.keep_complete_months(long, 2, 0.85).count() < len(rows) * 3 // 4
+
+
+def test_no_task_makes_the_readings_of_all_customers(spark, tmp_path, monkeypatch):
+    spark.range(900).selectExpr("id as c_custkey", "cast(id as double) as c_acctbal").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(interval_queries, "ACCOUNTS", 100, raising=False)
+    for name in ("completeness_of_full_months", "interval_day_qc_kinds"):
+        made = registry.queries()[name](spark, str(tmp_path))
+        sizes = sorted(r.n for r in interval_queries._made_days(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("account_identifier").alias("n")).collect())
+        assert made.count() and 6 <= len(sizes) <= 9 and sizes[-1] < 200
+    plan = registry.queries()["completeness_of_full_months"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "HashAggregate" not in plan
+
+
 def test_quantiles(spark):
     df = spark.createDataFrame([("k", float(i)) for i in range(101)], "k string, v double")
     row = reports.quantiles(df, ["k"], "v", (0.25, 0.9)).first()

@@ -102,8 +102,14 @@ def complete_months(long: DataFrame, days: int = 48, least: float = 0.9) -> Data
 
 
 def keep_complete_months(long: DataFrame, days: int = 48, least: float = 0.9) -> DataFrame:
-    """The readings of such accounts and months."""
-    return long.withColumn("sample_month", year_month(F.col("date"))).join(complete_months(long, days, least), ["sample_month", "account_identifier"], "left_semi")
+    """The readings of such accounts and months. One exchange and one sort by account and month; none if long is partitioned by account already."""
+    own = long.withColumn("sample_month", year_month(F.col("date"))).filter("sample_month is not null and account_identifier is not null")
+    w = Window.partitionBy("sample_month", "account_identifier")
+    day = w.orderBy("date")
+    own = own.withColumns({"_n": F.count(F.lit(1)).over(day.rangeBetween(Window.currentRow, Window.currentRow)), "_first": F.row_number().over(day) == F.rank().over(day)})
+    own = own.withColumn("_ok", F.count_if(F.col("_first") & (F.col("_n") >= days)).over(w))
+    own = own.filter((F.col("_ok") > 0) & (F.col("_ok") / days_in_month(F.col("date")) >= least))
+    return own.select("sample_month", "account_identifier", *[F.col(f"`{c}`") for c in long.columns if c not in ("sample_month", "account_identifier")])
 
 
 def under_sampled(by_month: DataFrame, month: str = "sample_month", n: str = "customers") -> DataFrame:

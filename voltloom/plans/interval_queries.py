@@ -222,9 +222,19 @@ def spill_clip(spark, sf_dir):
 _SIZES = "CASE c_custkey % 7 WHEN 0 THEN 46 WHEN 1 THEN 50 WHEN 2 THEN 47 ELSE 48 END"
 
 
+#: Customers of one partition, before each becomes some dozens of readings.
+ACCOUNTS = 10_000
+
+
+def _spread(accounts):
+    """accounts in partitions of about ACCOUNTS: however many a file has, no task makes the readings of all."""
+    return accounts.repartition(max(1, -(-accounts.count() // ACCOUNTS)), "account_identifier")
+
+
 def _made_days(spark, sf_dir):
     slots = F.explode(F.expr(f"sequence(1, {_SIZES})"))
-    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("account_identifier"), F.lit("60601").alias("zip_code"), F.expr("date'2024-03-01'").alias("date"), slots.alias("slot"), F.col("c_acctbal").alias("kwh"))
+    accounts = _spread(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_custkey").cast("string").alias("account_identifier")))
+    own = accounts.select("account_identifier", F.lit("60601").alias("zip_code"), F.expr("date'2024-03-01'").alias("date"), slots.alias("slot"), F.col("c_acctbal").alias("kwh"))
     return own.withColumn("datetime", times.end_stamp(F.col("date"), F.expr("slot div 2"), F.col("slot") % 2 * 30))
 
 
@@ -238,7 +248,8 @@ def interval_day_qc_kinds(spark, sf_dir):
 @query("""WITH d AS (SELECT c_custkey, unnest(range(20 + c_custkey % 10)) AS d FROM customer), r AS (SELECT c_custkey, d, unnest([0, 1]) AS half FROM d)
     SELECT CAST(c_custkey AS VARCHAR) AS account_identifier, CAST(TIMESTAMP '2024-02-01' + to_days(CAST(d AS INTEGER)) + to_minutes(30 * half) AS VARCHAR) AS datetime FROM r WHERE (20 + c_custkey % 10) / 29 >= 0.9""")
 def completeness_of_full_months(spark, sf_dir):
-    days = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("account_identifier"), F.explode(F.expr("sequence(0, cast(19 + c_custkey % 10 as int))")).alias("d"))
+    days = _spread(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("account_identifier")))
+    days = days.select("account_identifier", F.explode(F.expr("sequence(0, cast(19 + c_custkey % 10 as int))")).alias("d"))
     own = days.select("account_identifier", F.expr("date_add(date'2024-02-01', d)").alias("date"), F.explode(F.array(F.lit(0), F.lit(30))).alias("minute"))
     own = own.withColumn("datetime", times.end_stamp(F.col("date"), F.lit(0), F.col("minute")))
     return rounded(quality.keep_complete_months(own, 2, 0.9).select("account_identifier", "datetime"))
